@@ -54,14 +54,20 @@ def _pack(rows: np.ndarray) -> list[bytes]:
         at = np.flatnonzero(width == w)
         part = rest[at]
         over = (part >> np.uint32(w)) != 0 if w < 32 else np.zeros(part.shape, bool)
-        if w:
+        if w in (16, 32):  # whole units: bits are already in place
+            packed = part.astype(f"<u{w // 8}").view("u1").reshape(len(at), -1)
+        elif w:
             unit = 16 if w <= 16 else 32
             cells = part.astype(f"<u{unit // 8}").view("u1").reshape(len(at), n, unit // 8)
             bits = np.unpackbits(cells, axis=2, bitorder="little")[:, :, :w].reshape(len(at), n * w)
             packed = np.packbits(bits, axis=1, bitorder="little")
         else:
             packed = np.empty((len(at), 0), "u1")
+        some = over.any(axis=1).tolist()
         for i, row in enumerate(at.tolist()):
+            if not some[i]:
+                out[row] = _HEAD.pack(int(base[row]), n, int(w), 0) + packed[i].tobytes()
+                continue
             places = np.flatnonzero(over[i])
             out[row] = b"".join((_HEAD.pack(int(base[row]), n, int(w), len(places)), packed[i].tobytes(), places.astype("<u2").tobytes(), part[i][places].astype("<u4").tobytes()))
     return out
@@ -72,14 +78,18 @@ def unpack_block(data: bytes) -> np.ndarray:
     at = _HEAD.size
     size = (n * w + 7) // 8
     values = np.zeros(n, "<u4")
-    if w:
+    if w in (16, 32):
+        values[:] = np.frombuffer(data, f"<u{w // 8}", n, at)
+    elif w:
         unit = 16 if w <= 16 else 32
         bits = np.zeros((n, unit), "u1")
         bits[:, :w] = np.unpackbits(np.frombuffer(data, "u1", size, at), count=n * w, bitorder="little").reshape(n, w)
         values[:] = np.packbits(bits, axis=1, bitorder="little").view(f"<u{unit // 8}").ravel()
     at += size
-    values[np.frombuffer(data, "<u2", extra, at)] = np.frombuffer(data, "<u4", extra, at + 2 * extra)
-    return values + np.uint32(base)
+    if extra:
+        values[np.frombuffer(data, "<u2", extra, at)] = np.frombuffer(data, "<u4", extra, at + 2 * extra)
+    values += np.uint32(base)
+    return values
 
 
 def _filesystem(uri: str):
