@@ -41,17 +41,14 @@ def deduplicated(events: DataFrame, keys: list[str], late: str = "1 hour") -> Da
     return _watermarked(events, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
-def breakers(events: DataFrame, failures: int = FAILURES, open_seconds: int = OPEN_SECONDS, forget: str = "1 hour") -> DataFrame:
+def breakers(events: DataFrame, failures: int = FAILURES, open_seconds: int = OPEN_SECONDS) -> DataFrame:
     """A row whenever a worker's breaker opens or closes: worker_id, at, state.
 
-    ``events``: worker_id, at, ok. State is a count and the last failure; it is
-    dropped when a worker is silent.
+    ``events``: worker_id, at, ok. State is a count, a flag and the second of
+    the last failure for each worker.
     """
 
     def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         count, is_open, last = state.get if state.exists else (0, False, 0)
         out = []
         for frame in frames:
@@ -71,11 +68,10 @@ def breakers(events: DataFrame, failures: int = FAILURES, open_seconds: int = OP
                         is_open = True
                         out.append((key[0], at, "open"))
         state.update((count, is_open, last))
-        state.setTimeoutDuration(pd.Timedelta(forget).value // 1_000_000)
         yield pd.DataFrame(out, columns=["worker_id", "at", "state"])
 
     kind = events.schema["worker_id"].dataType.simpleString()
-    return events.select("worker_id", "at", "ok").groupBy("worker_id").applyInPandasWithState(fold, f"worker_id {kind}, at timestamp, state string", "failures int, open boolean, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select("worker_id", "at", "ok").groupBy("worker_id").applyInPandasWithState(fold, f"worker_id {kind}, at timestamp, state string", "failures int, open boolean, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def learn_arms(feedback: DataFrame, decisions: DataFrame, arms_path: str, checkpoint: str, **trigger) -> StreamingQuery:
