@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable, Sequence
 
 import numpy as np
@@ -30,9 +32,12 @@ from kindred.llm.texts import map_slices, texts_of
 
 MARK = "▁"
 #: Words held per worker; the table is emptied when it is full.
-TABLE_WORDS = 300_000
+TABLE_WORDS = 500_000
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNIGRAM, BPE = 1, 2
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+# stand between words and between their parts; texts that have them are cut word by word
+_BREAK, _SEAM = "\ufffe", "\uffff"
 #: Taken off the smallest score for a character that the model lacks, as the library does.
 UNKNOWN_PENALTY = 10.0
 
@@ -71,9 +76,16 @@ class SentencePieceCodec:
                 self.texts[i] = bytes([int(p.piece[3:5], 16)])
             elif p.type == kinds.UNKNOWN:
                 self.texts[i] = (proto.trainer_spec.unk_surface or " ⁇ ").encode()
-        self.longest = max(map(len, self.ids), default=1)
+        # every ending of a piece: the id where it is itself a piece, else -1
+        self.tails: dict[str, int] = {}
+        for piece, i in self.ids.items():
+            for k in range(len(piece) - 1, 0, -1):
+                self.tails.setdefault(piece[k:], -1)
+            self.tails[piece] = i
         self.low = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
         self.table: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.seams = self._find_seams()
         self.fits: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
 
@@ -87,6 +99,21 @@ class SentencePieceCodec:
             return ""
         return ((" " if self.spec.add_dummy_prefix else "") + text).replace(" ", MARK)
 
+    def _find_seams(self) -> re.Pattern:
+        """Places inside a word that no piece spans: between an ASCII letter and a mark that no piece has in this order.
+
+        Unless unknown characters are merged, what lies on either side of a
+        seam is cut on its own.
+        """
+        pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        letters = [c for c in map(chr, range(128)) if c.isalpha()]
+        marks = [c for c in map(chr, range(1, 128)) if not c.isalnum() and c != " "]
+        after = "".join(m for m in marks if not any(x + m in pairs for x in letters))
+        before = "".join(m for m in marks if not any(m + x in pairs for x in letters))
+        if not self.fallback or not after or not before:
+            return re.compile(r"(?!)")
+        return re.compile(f"(?<=[A-Za-z])(?=[{re.escape(after)}])|(?<=[{re.escape(before)}])(?=[A-Za-z])")
+
     # -- byte-pair neighbours --------------------------------------------
     def _merged(self, symbols: list[str]) -> list[str]:
         """Merge neighbours by the best score, leftmost first."""
@@ -122,50 +149,70 @@ class SentencePieceCodec:
         """Pieces of each word, by a depth-first walk of the words' trie."""
         out: dict[str, list[str]] = {}
         last: list[str] = []  # of the prefix that ends at i: its last piece
-        score: list[float] = [0.0]
+        score: list[float] = [0.0]  # and, for a unigram model, its best sum
         before = ""
-        step = self._step_unigram if self.kind == UNIGRAM else self._step_bpe
+        forward = self._forward_unigram if self.kind == UNIGRAM else self._forward_bpe
         for word in sorted(words):
             shared = 0
-            for a, b in zip(before, word):
-                if a != b:
+            for x, y in zip(before, word):
+                if x != y:
                     break
                 shared += 1
             del last[shared:], score[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                step(word, end, last, score)
+            forward(word, last, score)
             pieces, end = [], len(word)
             while end:
-                pieces.append(last[end - 1])
-                end -= len(last[end - 1])
-            out[word] = pieces[::-1]
+                piece = last[end - 1]
+                pieces.append(piece)
+                end -= len(piece)
+            pieces.reverse()
+            out[word] = pieces
             before = word
         return out
 
-    def _step_unigram(self, word: str, end: int, last: list[str], score: list[float]) -> None:
-        best, piece = None, word[end - 1]
-        for start in range(max(0, end - self.longest), end):
-            found = self.ids.get(word[start:end])
-            if found is not None:
-                s = score[start] + self.scores[found]
-            elif start == end - 1:
-                s = score[start] + self.low
+    def _forward_unigram(self, word: str, last: list[str], score: list[float]) -> None:
+        tails, scores = self.tails, self.scores
+        for end in range(len(last) + 1, len(word) + 1):
+            best, piece = None, word[end - 1]
+            for start in range(end - 1, -1, -1):
+                found = tails.get(word[start:end])
+                if found is None:  # no longer piece ends like this
+                    if start < end - 1:
+                        break
+                    best = score[start] + self.low
+                elif found >= 0:
+                    s = score[start] + scores[found]
+                    if best is None or s >= best:
+                        best, piece = s, word[start:end]
+                elif start == end - 1:
+                    best = score[start] + self.low
+            last.append(piece)
+            score.append(best)
+
+    def _forward_bpe(self, word: str, last: list[str], score: list[float]) -> None:
+        tails, fits = self.tails, self.fits
+        for end in range(len(last) + 1, len(word) + 1):
+            ways = []
+            for start in range(end - 2, -1, -1):
+                piece = word[start:end]
+                found = tails.get(piece)
+                if found is None:
+                    break
+                if found >= 0:
+                    ways.append((start, piece))
+            for start, piece in reversed(ways):
+                if start:
+                    ok = fits.get((last[start - 1], piece))
+                    if ok is None:
+                        ok = self._stays(last[start - 1], piece)
+                    if not ok:
+                        continue
+                if self._reached(piece):
+                    last.append(piece)
+                    break
             else:
-                continue
-            if best is None or s > best:
-                best, piece = s, word[start:end]
-        last.append(piece)
-        score.append(best)
-
-    def _step_bpe(self, word: str, end: int, last: list[str], score: list[float]) -> None:
-        for start in range(max(0, end - self.longest), end - 1):
-            piece = word[start:end]
-            if piece in self.ids and self._reached(piece) and (not start or self._stays(last[start - 1], piece)):
-                last.append(piece)
-                break
-        else:
-            last.append(word[end - 1])
-        score.append(0.0)
+                last.append(word[end - 1])
+            score.append(0.0)
 
     # -- texts -----------------------------------------------------------
     def _pack(self, pieces: Sequence[str]) -> bytes:
@@ -178,7 +225,21 @@ class SentencePieceCodec:
                 out += [self.bytes[b] for b in p.encode()]
             elif not out or out[-1] != self.unk:
                 out.append(self.unk)
-        return np.array(out, "<u4").tobytes()
+        return array("I", out).tobytes() if LITTLE else np.array(out, "<u4").tobytes()
+
+    def _add_words(self, words: list[str]) -> None:
+        """Ids of new words, from those of their parts."""
+        if len(self.parts) > TABLE_WORDS:
+            self.parts.clear()
+        parts = self.parts
+        text = "".join(words)
+        if _SEAM in text or _BREAK in text:
+            cut = [self.seams.split(w) for w in words]
+        else:  # all at once
+            cut = [w.split(_SEAM) for w in self.seams.sub(_SEAM, _BREAK.join(words)).split(_BREAK)]
+        for part, pieces in self.cut_words({p for ps in cut for p in ps if p not in parts}).items():
+            parts[part] = self._pack(pieces)
+        self.table.update((w, parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])) for w, ps in zip(words, cut))
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text, packed little-endian in 32 bits. A null text is an empty one."""
@@ -186,9 +247,9 @@ class SentencePieceCodec:
         if len(self.table) > TABLE_WORDS:
             self.table.clear()
         table = self.table
-        new = [w for w in set().union(*split) if w not in table]
-        for word, pieces in self.cut_words(new).items():
-            table[word] = self._pack(pieces)
+        new = list(set().union(*split).difference(table))
+        if new:
+            self._add_words(new)
         return [b"".join([table[w] for w in ws]) for ws in split]
 
     def decode(self, ids: bytes) -> str:
