@@ -1,5 +1,4 @@
 """Training-data operators: tokenisation, filtering, deduplication, packing.
 
-Self-contained: nothing outside this subpackage imports it, and it imports
-nothing from the rest of the library.
+Optional: nothing outside this subpackage and the corpus pipeline imports it.
 """

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.components import components
-from kindred.llm.storage import materialize, spread_join
+from kindred.operators.components import components
+from kindred.sources.storage import materialize, spread_join
 
 THRESHOLD = 0.93
 #: Vectors aimed at in a cell, and in a block.

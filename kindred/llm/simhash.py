@@ -23,9 +23,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.components import components
-from kindred.llm.storage import materialize, spread_join
 from kindred.llm.texts import LOWER_ASCII, map_slices, texts_of, words_of
+from kindred.operators.components import components
+from kindred.sources.storage import materialize, spread_join
 
 SHINGLE_WORDS = 3
 SEED = 42

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.storage import new_path
 from kindred.llm.texts import slices, texts_of
 from kindred.llm.tokenizing import word_encoder
+from kindred.sources.storage import new_path
 
 MAGIC = b"KTOKPFR1"
 BLOCK = 1024
