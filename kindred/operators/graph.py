@@ -138,7 +138,7 @@ def communities(links: DataFrame, method: str = "leiden", resolution: float = K.
 
     def split_up(frame: pd.DataFrame) -> pd.DataFrame:
         found = communities_of(sorted({*frame["source_id"], *frame["target_id"]}), list(zip(frame["source_id"], frame["target_id"], frame["weight"])), resolution)
-        return pd.DataFrame({"id": list(found), "community": list(found.values())})
+        return pd.DataFrame({"id": list(found), "community": list(found.values())}, dtype=object)
 
     kind = links.schema["source_id"].dataType.simpleString()
     parts = left.join(whole.withColumnRenamed("node", "source_id"), "source_id").groupBy("component").applyInPandas(split_up, f"id {kind}, community {kind}")

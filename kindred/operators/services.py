@@ -51,7 +51,7 @@ def similar_within(rows: DataFrame, key: str, item: str, vector: str, threshold:
                 if p < q or (p != q and same["i"].iloc[0] != same["j"].iloc[0]):
                     for c, v in zip(out, (same[key].iloc[0], min(p, q), max(p, q), float(sims[a, b]))):
                         out[c].append(v)
-        return pd.DataFrame(out)
+        return pd.DataFrame(out, dtype=object)
 
     return tasks.groupBy(key, "i", "j").applyInPandas(compare, f"{key} {kinds[key]}, {item}_1 {kinds[item]}, {item}_2 {kinds[item]}, similarity double")
 

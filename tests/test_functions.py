@@ -127,6 +127,6 @@ def test_truncation():
         if strategy == "intelligent":
             assert out.startswith("Service: Food Bank") and "Categories: a, b" in out
     assert documents.shorten(text, "simple", 100_000) == text
-    assert documents.shorten(text, "end_only", 200).startswith("...")
+    assert documents.shorten(text, "end_only", 300).startswith("...")
     assert documents.count_tokens(documents.shorten(text * 20, "simple", 100)) <= 100
     assert documents.shorten(None) is None
