@@ -6,64 +6,60 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kindred.functions import constants as K
+from kindred.functions.binding import let
 
 _V4 = r"^\d{1,3}(\.\d{1,3}){3}$"
 
 
 def is_public_ip(host: Column) -> Column:
     """True for public IPv4 literals and for IPv6 literals outside the local ranges."""
-    octet = lambda i: F.split(host, r"\.")[i].try_cast("int")
-    private = (octet(0) == 10) | (octet(0) == 127) | (octet(0) == 0) | (octet(0) >= 224) | ((octet(0) == 172) & octet(1).between(16, 31)) | ((octet(0) == 192) & (octet(1) == 168)) | ((octet(0) == 169) & (octet(1) == 254))
-    in_range = (octet(0) <= 255) & (octet(1) <= 255) & (octet(2) <= 255) & (octet(3) <= 255)
+
+    def public(o: Column) -> Column:
+        private = (o[0] == 10) | (o[0] == 127) | (o[0] == 0) | (o[0] >= 224) | ((o[0] == 172) & o[1].between(16, 31)) | ((o[0] == 192) & (o[1] == 168)) | ((o[0] == 169) & (o[1] == 254))
+        return F.forall(o, lambda x: x <= 255) & ~private
+
+    v4 = let(F.transform(F.split(host, r"\."), lambda x: x.try_cast("int")), public)
     v6 = host.rlike(r"^\[?[0-9a-f]*:[0-9a-f:.]*\]?$") & ~host.rlike(r"^\[?(::1|::|fe8|fc|fd)")
-    return F.when(host.rlike(_V4), F.coalesce(in_range & ~private, F.lit(False))).otherwise(v6)
+    return F.when(host.rlike(_V4), F.coalesce(v4, F.lit(False))).otherwise(v6)
 
 
 def _after_scheme(url: Column) -> Column:
-    u = F.trim(url)
-    at = F.locate("://", u)
-    return F.when(at > 0, F.substring(u, at + 3, F.length(u))).otherwise(u)
+    return F.regexp_replace(F.trim(url), r"^(?s:.*?)://", "")
 
 
 def url_domain(url: Column) -> Column:
     """Host in lower case without user, port and leading ``www.``; null where the value names no public domain."""
     u = F.trim(url)
-    host = F.lower(F.substring_index(_after_scheme(url), "/", 1))
-    host = F.when(F.locate("@", host) > 0, F.regexp_replace(host, r"^[^@]*@", "")).otherwise(host)
-    host = F.regexp_replace(F.regexp_replace(host, r"[?#:].*$", ""), r"^(www\.)+", "")
-    bad = F.lit(False)
+    bad = u == ""
     for p in K.REJECTED_URL_PREFIXES:
         bad = bad | u.startswith(p)
-    return F.when((u == "") | bad | ~host.contains(".") | is_public_ip(host), F.lit(None).cast("string")).otherwise(host)
+    host = F.lower(F.substring_index(_after_scheme(url), "/", 1))
+    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^[^@]*@", ""), r"[?#:].*$", ""), r"^(www\.)+", "")
+    return let(F.when(~bad, host), lambda h: F.when(h.contains(".") & ~is_public_ip(h), h))
 
 
 def url_slugs(url: Column) -> Column:
     """Non-empty path segments, case kept, without query and fragment."""
-    rest = _after_scheme(url)
-    at = F.locate("/", rest)
-    path = F.when(at > 0, F.substring(rest, at + 1, F.length(rest))).otherwise("")
-    path = F.when(path.contains("?"), F.substring_index(path, "?", 1)).otherwise(F.substring_index(path, "#", 1))
-    return F.filter(F.split(path, "/"), lambda s: s != "")
+    path = F.regexp_extract(_after_scheme(url), r"^[^/]*/((?s:.*))$", 1)
+    return let(path, lambda p: F.filter(F.split(F.when(p.contains("?"), F.substring_index(p, "?", 1)).otherwise(F.substring_index(p, "#", 1)), "/"), lambda s: s != ""))
 
 
 def is_ignored_domain(domain: Column) -> Column:
     """Shared platforms, exactly or as a parent domain: every suffix of the labels is looked up in the list."""
-    labels = F.split(domain, r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    return F.arrays_overlap(parents, F.array(*map(F.lit, K.IGNORED_DOMAINS)))
+    parents = lambda labels: F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return let(F.split(domain, r"\."), lambda labels: F.arrays_overlap(parents(labels), F.array(*map(F.lit, K.IGNORED_DOMAINS))))
 
 
 def shared_slugs(a: Column, b: Column) -> Column:
     """How many leading segments agree."""
-    n = F.least(F.size(a), F.size(b))
-    hits = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & F.coalesce(F.try_element_at(a, i) == F.try_element_at(b, i), F.lit(False)))
-    first_miss = F.array_position(hits, F.lit(False))
-    return F.when(first_miss == 0, n).otherwise(first_miss - 1).cast("int")
+    hits = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    miss = F.array_position(hits, F.lit(False))
+    return F.when(miss == 0, F.size(hits)).otherwise(miss - 1).cast("int")
 
 
-def url_confidence(a: Column, b: Column) -> Column:
-    """Confidence of two slug lists under one domain."""
-    n = shared_slugs(a, b)
+def url_confidence(a: Column, b: Column, n: Column | None = None) -> Column:
+    """Confidence of two slug lists under one domain; ``n`` is what they share, if it is known."""
+    n = shared_slugs(a, b) if n is None else n
     tier = F.when(n == 0, K.URL_SLUG_CONFIDENCE[0])
     for i, c in enumerate(K.URL_SLUG_CONFIDENCE[1:-1], 1):
         tier = tier.when(n == i, c)

@@ -68,7 +68,7 @@ def url_keys(rows: DataFrame) -> DataFrame:
 
 def match_urls(rows: DataFrame, existing: DataFrame | None = None, tune: Tune | None = None) -> DataFrame:
     pairs = blocked_pairs(url_keys(rows), "key", "entity_id", ["original", "slugs"])
-    pairs = pairs.withColumn("score", urls.url_confidence(F.col("slugs_1"), F.col("slugs_2"))).withColumn("slug_count", urls.shared_slugs(F.col("slugs_1"), F.col("slugs_2")))
+    pairs = pairs.withColumn("slug_count", urls.shared_slugs(F.col("slugs_1"), F.col("slugs_2"))).withColumn("score", urls.url_confidence(F.col("slugs_1"), F.col("slugs_2"), F.col("slug_count")))
     values = F.struct(F.col("original_1").alias("original_url1"), F.col("original_2").alias("original_url2"), F.col("key").alias("normalized_shared_domain"), F.col("slug_count").alias("matching_slug_count"))
     return _result(best_pairs(pairs, "score", "key"), "url", "Url", values, "score", existing, tune)
 
