@@ -46,3 +46,26 @@ def report(methods: list, cluster: dict | None, service: dict | None, seconds: d
     if service:
         lines.append(f"  {service['total_matches']} service matches, mean similarity {service['avg_similarity'] or 0:.3f}")
     return "\n".join(lines)
+
+
+def initial_run(spark, run: str, description: str = "") -> DataFrame:
+    """A run's row before anything is known; merging the finished one by id replaces it."""
+    totals = ("total_entities", "total_groups", "total_clusters", "total_service_matches", "total_visualization_edges")
+    times = ("entity_processing_time", "context_feature_time", "matching_time", "clustering_time", "visualization_time", "service_matching_time", "total_processing_time")
+    return spark.range(1).select(F.lit(run).alias("id"), F.lit(description).alias("description"), *[F.lit(0).cast("long").alias(x) for x in totals], *[F.lit(0.0).alias(x) for x in times])
+
+
+def finished_run(row: DataFrame, totals: dict[str, DataFrame], seconds: dict[str, float]) -> DataFrame:
+    """The run's row with the counts of its tables and the time of its phases; the total leaves visualization out."""
+    out = row
+    for name, rows in totals.items():
+        out = out.drop(name).crossJoin(rows.agg(F.count("*").alias(name)))  # one row each
+    for name, value in seconds.items():
+        out = out.withColumn(name, F.lit(float(value)))
+    out = out.withColumn("total_processing_time", F.lit(float(sum(v for k, v in seconds.items() if k not in ("visualization_time", "total_processing_time")))))
+    return out.select(row.columns)
+
+
+def lowest_coherence(clusters: DataFrame, n: int = 10) -> DataFrame:
+    """The clusters that most need a look."""
+    return clusters.where("average_coherence_score is not null").orderBy("average_coherence_score", "id").limit(n)
