@@ -52,9 +52,9 @@ def embed(rows: DataFrame, id_col: str, text_col: str, make: Callable[[], Hashin
         for frame in frames:
             for k in range(0, len(frame), batch):
                 part = frame.iloc[k : k + batch]
-                yield pd.DataFrame({id_col: part[id_col], "embedding": list(encoder.encode(part[text_col].tolist()).astype("f4"))})
+                yield pd.DataFrame({id_col: part["_id"], "embedding": list(encoder.encode(part["_text"].tolist()).astype("f4"))})
 
-    wanted = rows.where(F.col(text_col).isNotNull() & ~F.col(text_col).rlike(r"^\s*$")).select(id_col, text_col)
+    wanted = rows.where(F.col(text_col).isNotNull() & ~F.col(text_col).rlike(r"^\s*$")).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     return wanted.mapInPandas(run, f"`{id_col}` {kind}, embedding array<float>")
 
 

@@ -724,3 +724,80 @@ def events_sliding(spark, sf):
 @query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), h AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n, round(sum(value), 4) AS total FROM h GROUP BY user_id, no")
 def events_sessions(spark, sf):
     return streams.sessions(t(spark, sf, "events"), "6 hours").select("user_id", "session_start", "n", F.round("total", 4).alias("total"))
+
+
+# -- smaller operators ---------------------------------------------------------------------------
+@query(f"""WITH {_ADDR}, b AS (SELECT c_custkey, a, regexp_replace(lower(a), '[^\\p{{L}}\\p{{N}}\\s#]', '', 'g') AS k FROM addr),
+d AS (SELECT c_custkey, regexp_extract(lower(a), '(apt|#|suite|floor)[^,]*') AS unit, replace(replace(replace(replace(k, ' st ', ' street '), ' ave ', ' avenue '), ' rd ', ' road '), ' blvd ', ' boulevard ') AS k FROM b),
+e AS (SELECT c_custkey, unit, trim(regexp_replace(regexp_replace(k, '\\s+(apt|#|suite|floor) \\S+\\s*', ' ', 'g'), '\\s+', ' ', 'g')) AS k FROM d)
+SELECT x.c_custkey AS entity_id_1, y.c_custkey AS entity_id_2, CASE WHEN x.unit <> y.unit THEN 0.8075 ELSE 0.95 END AS confidence_score FROM e x JOIN e y USING (k) WHERE x.c_custkey < y.c_custkey""")
+def address_pairs(spark, sf):
+    rows = address_rows(spark, sf).select(c("c_custkey").alias("entity_id"), F.substring_index("a", ", ", 1).alias("address_1"), F.substring_index("a", ", ", -1).alias("city"), *[F.lit(None).cast("string").alias(x) for x in ("address_2", "state_province", "postal_code", "country")])
+    return matchers.match_addresses(rows).select("entity_id_1", "entity_id_2", F.round("confidence_score", 4).alias("confidence_score"))
+
+
+@query(f"""WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS token FROM part UNION SELECT unnest(['the', 'north', 'police', 'city', 'school'])) SELECT token, CASE WHEN token IN ({", ".join(f"'{x}'" for x in K.LIGHT_TOKENS)}) THEN 0.5 WHEN token IN ({", ".join(f"'{x}'" for x in K.LOCATION_PREFIXES)}) THEN 0.8 WHEN token IN ({", ".join(f"'{x}'" for x in K.HEAVY_TOKENS)}) THEN 2.0 WHEN token = 'city' THEN 0.5 ELSE 1.5 END::DOUBLE AS weight FROM w""")
+def token_weights(spark, sf):
+    words = t(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("token")).union(spark.createDataFrame([(x,) for x in ("the", "north", "police", "city", "school")], "token string")).distinct()
+    return words.select("token", names.token_weight(c("token"), F.lit("city")).alias("weight"))
+
+
+@query()
+def name_domain_factors(spark, sf):
+    none = F.lit(None).cast("string")
+    return name_pairs(spark, sf).select("name_1", "name_2", names.domain_factor(c("name_1"), c("name_2"), none, none).alias("factor"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey < 2 THEN 4 WHEN s_suppkey < 4 THEN 8 WHEN s_suppkey < 8 THEN 16 WHEN s_suppkey < 24 THEN 32 ELSE 64 END::BIGINT AS best_batch, 100 * pow(2, s_suppkey % 5)::BIGINT AS backoff, s_suppkey * (512 * 384 * 12 + 12 * 512 * 512) * 4 AS memory FROM supplier")
+def hardware_tiers(spark, sf):
+    k = c("s_suppkey")
+    return t(spark, sf, "supplier").select("s_suppkey", batching.hardware_batches(k)[0].cast("long").alias("best_batch"), workers.backoff_ms(k % 5 + 1).cast("long").alias("backoff"), batching.memory_bytes(k).alias("memory"))
+
+
+@query(f"WITH {_GRAPH} SELECT 'c' AS cluster_id, name_1 AS entity_id_1, name_2 AS entity_id_2, row_number() OVER (ORDER BY conf, name_1, name_2) AS place, count(*) OVER () AS total FROM gp")
+def review_task_queue(spark, sf):
+    return suggestions.task_queue(name_edges(spark, sf), "c").select("cluster_id", "entity_id_1", "entity_id_2", c("place").cast("long").alias("place"), "total")
+
+
+@query(f"WITH {_GRAPH}, m AS (SELECT DISTINCT unnest([name_1, name_2]) AS e FROM gp) SELECT e AS entity_id, starts_with(e, 'red') AS moved FROM m")
+def review_split(spark, sf):
+    members = blocking.both_sides(name_edges(spark, sf), "cluster_id").distinct()
+    out = suggestions.split_cluster(members, members.where(c("entity_id").startswith("red")))
+    return out.select("entity_id", (c("cluster_id") != "c").alias("moved"))
+
+
+@query("""SELECT c_custkey, '{"type":"Email","values":{"a":"' || c_name || '","n":' || c_nationkey || '}}' AS j FROM customer""")
+def tagged_json(spark, sf):
+    return t(spark, sf, "customer").select("c_custkey", io.tagged("Email", F.struct(c("c_name").alias("a"), c("c_nationkey").alias("n"))).alias("j"))
+
+
+@query(f"WITH {_JOBS}, q AS (SELECT id, row_number() OVER (ORDER BY ts, id::VARCHAR) - 1 AS place FROM j WHERE status = 'queued') SELECT id AS job_id, place, CASE WHEN place < 10 THEN 'a' WHEN place < 15 THEN 'b' ELSE 'c' END AS worker_id FROM q WHERE place < 40")
+def jobs_by_worker(spark, sf):
+    room = spark.createDataFrame([("a", 10), ("b", 5), ("c", 25)], "worker_id string, take int")
+    return jobs.claim_for_workers(job_rows(spark, sf), room).select(c("job_id").cast("long").alias("job_id"), c("place").cast("long").alias("place"), "worker_id")
+
+
+@query("SELECT count(*) AS runs, sum(l_quantity) AS items, sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END) AS succeeded, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS failed, round(sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END) / sum(l_quantity), 6) AS success_rate, round(avg(l_tax), 6) AS avg_seconds FROM lineitem")
+def embedding_run_stats(spark, sf):
+    ok = c("l_returnflag") != "R"
+    runs = t(spark, sf, "lineitem").select(c("l_quantity").alias("items"), F.when(ok, c("l_quantity")).otherwise(0.0).alias("succeeded"), F.when(~ok, c("l_quantity")).otherwise(0.0).alias("failed"), c("l_tax").alias("seconds"))
+    return stats.run_stats(runs).withColumn("success_rate", r6("success_rate")).withColumn("avg_seconds", r6("avg_seconds"))
+
+
+@query(f"WITH {_GEO}, s AS (SELECT g.*, acct FROM g JOIN (SELECT s_suppkey, s_acctbal AS acct FROM supplier) ON id = s_suppkey) SELECT a.n::BIGINT AS entity_id_1, b.n::BIGINT AS entity_id_2, round(greatest(least(avg(CASE WHEN {_DIST} <= 10000 THEN 1 - {_DIST} / 10000 ELSE 0 END), 1), 0), 6) AS service_geo_similarity FROM s a JOIN s b ON a.n < b.n GROUP BY ALL")
+def service_geo_similarity(spark, sf):
+    p = points(spark, sf).select(c("s_nationkey").cast("long").alias("entity_id"), F.array(F.lit(1.0)).alias("embedding"), "lat", "lon")
+    pairs = blocking.blocked_pairs(p.select("entity_id").distinct().withColumn("key", F.lit(1)), "key", "entity_id").select("entity_id_1", "entity_id_2")
+    return features.service_geo_similarity(pairs, p).withColumn("service_geo_similarity", r6("service_geo_similarity"))
+
+
+@query()
+def encoded_names(spark, sf):
+    from kindred.operators.encoder import embed
+
+    return embed(t(spark, sf, "part").select("p_name").distinct(), "p_name", "p_name").select("p_name", r6(vectors.norm(c("embedding"))).alias("length"))
+
+
+@query()
+def sampled_review_pairs(spark, sf):
+    return graph.sampled_entity_pairs(blocking.both_sides(name_edges(spark, sf), "cluster_id"))
