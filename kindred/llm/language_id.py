@@ -25,8 +25,8 @@ SAMPLE_ROWS = 4000
 #: Codewords of up to this many languages have every split of them; beyond, random splits.
 EXHAUSTIVE = 5
 RANDOM_BITS = 48
-#: Scores below this are ambiguous.
-AMBIGUOUS_BELOW = 0.6
+#: Below this no language has most of the score and the text is ambiguous.
+AMBIGUOUS_BELOW = 0.5
 UNKNOWN = "und"
 SEED = 17
 
