@@ -173,7 +173,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, cell_rows
     found = materialize(_compared(placed, threshold, block_rows), "links")
     roots = materialize(components(found.where("b is not null").select("a", "b")), "roots")
     least = classes.join(roots, classes.key == roots.node).groupBy("root").agg(F.min("first_id").alias("least_id"))
-    linked = roots.join(least, "root").select(F.col("node").alias("key"), "least_id")
+    linked = spread_join(roots, least, ["root"]).select(F.col("node").alias("key"), "least_id")
     counts = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("others"))
     named = materialize(classes.drop("v", "grp").join(linked, "key", "left").join(counts, "key", "left").select("key", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least_id", "first_id").alias("component_id")), "named")
     out = spread_join(keyed.select("vec_id", "key"), named, ["key"]).select("vec_id", "n_links", "component_id")

@@ -141,5 +141,5 @@ def simhash_groups(docs: DataFrame, most: int = MAX_BITS, id_col: str = "doc_id"
     roots = materialize(components(fingerprint_links(classes, most)), "roots")
     # the few fingerprints that have links get their component's smallest id
     linked = classes.join(roots, classes.fp == roots.node).groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = classes.join(roots.join(linked, "root").select(F.col("node").alias("fp"), "least_id"), "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    named = classes.join(spread_join(roots, linked, ["root"]).select(F.col("node").alias("fp"), "least_id"), "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
     return spread_join(rows, named, ["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
