@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.sources.io import merge, same_id
 from kindred.sources.schemas import CAPABILITIES
+from kindred.sources.storage import materialize
 
 FAILURES, OPEN_SECONDS = 5, 300
 RECENT = 50
@@ -82,7 +83,7 @@ def global_rank(items: DataFrame, item: str) -> DataFrame:
     """Rank of each row by a column, from 1: ranks within ranges, plus the counts of ranges before."""
     dealt = items.select(item).repartitionByRange(item).sortWithinPartitions(item).withColumn("_p", F.spark_partition_id())
     within = Window.partitionBy("_p").orderBy(item)
-    local = dealt.withColumn("_r", F.row_number().over(within))
+    local = materialize(dealt.withColumn("_r", F.row_number().over(within)), "ranks")  # ranges are drawn once
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     base = local.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     return local.join(F.broadcast(base.select("_p", "_base")), "_p").select(item, (F.col("_r") + F.col("_base")).alias("rank"))
