@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.texts import slices, texts_of
+from kindred.llm.texts import drop_tables, slices, texts_of
 from kindred.llm.tokenizing import word_encoder
 
 WINDOW = 4096
@@ -100,6 +100,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tupl
     def run(batches):
         from pyspark import TaskContext
 
+        drop_tables("words")
         part, encoder, packer = TaskContext.get().partitionId(), word_encoder(tokenizer), Packer(tiers)
         held: dict[int, list] = {}  # document: its id, ids, tokens not yet sent
         made, count = dict.fromkeys(tiers, 0), 0

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.texts import map_slices, texts_of
+from kindred.llm.texts import TABLES, map_slices
 
 MARK = "▁"
 #: Words held per worker; the table is emptied when it is full.
@@ -264,6 +264,9 @@ def codec(model_file: str) -> SentencePieceCodec:
     return SentencePieceCodec(model_file)
 
 
+TABLES["pieces"] = codec.cache_clear
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -280,7 +283,7 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
         offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype("i4")
         return pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else [], pa.int32()))], ["doc_id", "ids"])
 
-    return map_slices(_rows(docs, id_col, text_col), "text", run, "doc_id long, ids array<int>")
+    return map_slices(_rows(docs, id_col, text_col), "text", run, "doc_id long, ids array<int>", "pieces")
 
 
 def decode_documents(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -308,4 +311,4 @@ def round_trip(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_co
             ["doc_id", "n_tokens", "ids_crc32", "decoded_crc32", "round_trip"],
         )
 
-    return map_slices(_rows(docs, id_col, text_col), "text", run, "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long, round_trip boolean")
+    return map_slices(_rows(docs, id_col, text_col), "text", run, "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long, round_trip boolean", "pieces")

@@ -53,10 +53,22 @@ def texts_of(batch: pa.RecordBatch, text: str) -> list[bytes | None]:
     return batch.column(text).cast(pa.large_binary()).to_pylist()
 
 
-def map_slices(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """Apply ``fn`` to bounded slices of ``df`` in Arrow form."""
+#: Tables that a worker keeps between tasks, by name, and how to drop them.
+TABLES: dict[str, Callable[[], None]] = {}
+
+
+def drop_tables(but: str | None = None) -> None:
+    """Drop what earlier tasks of other operators left in this worker."""
+    for name, drop in TABLES.items():
+        if name != but:
+            drop()
+
+
+def map_slices(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, table: str | None = None) -> DataFrame:
+    """Apply ``fn`` to bounded slices of ``df`` in Arrow form; ``table`` is the kept table that it uses."""
 
     def run(batches):
+        drop_tables(table)
         for piece in slices(batches, text):
             out = fn(piece)
             if out is not None and out.num_rows:

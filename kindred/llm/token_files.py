@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.texts import slices, texts_of
+from kindred.llm.texts import drop_tables, slices, texts_of
 from kindred.llm.tokenizing import word_encoder
 from kindred.sources.storage import new_path
 
@@ -210,6 +210,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     def write(batches):
         from pyspark import TaskContext
 
+        drop_tables("words")
         encoder, attempt = word_encoder(tokenizer), f"tmp-{TaskContext.get().taskAttemptId()}"
         writer, number = None, None
         done = []

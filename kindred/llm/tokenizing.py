@@ -17,7 +17,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-from kindred.llm.texts import words_of
+from kindred.llm.texts import TABLES, words_of
 
 #: Words, and word parts, held per worker; a table is emptied when it is full.
 TABLE_WORDS = 400_000
@@ -106,3 +106,6 @@ class WordEncoder:
 @functools.lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
+
+
+TABLES["words"] = word_encoder.cache_clear
