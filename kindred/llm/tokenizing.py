@@ -69,26 +69,28 @@ class WordEncoder:
         self.parts.update(zip(parts, [packed[a:b] for a, b in zip([0, *ends], ends)]))
 
     def _encode_words(self, words: list[bytes]) -> None:
+        lone, marked, other = ([], []), ([], []), ([], [])
         texts = b"\n".join(words).decode("utf-8", "replace").split("\n")
-        plain = list(map(_PLAIN.fullmatch, texts))
-        if not all(plain):
-            other = [(w, t) for w, t, p in zip(words, texts, plain) if not p]
-            found = self.tokenizer.encode_batch([t for _, t in other], add_special_tokens=False)
-            self.words.update((w, np.array(e.ids, dtype="<u4").tobytes()) for (w, _), e in zip(other, found))
-            words, texts = [w for w, p in zip(words, plain) if p], [t for t, p in zip(texts, plain) if p]
-        if not words:
-            return
+        for w, t, plain in zip(words, texts, map(_PLAIN.fullmatch, texts)):
+            into = other if plain is None else lone if t.isalpha() else marked
+            into[0].append(w)
+            into[1].append(t)
+        if other[0]:
+            found = self.tokenizer.encode_batch(other[1], add_special_tokens=False)
+            self.words.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(other[0], found))
         if len(self.parts) > TABLE_PARTS:
             self.parts.clear()
         parts = self.parts
         parts["\n"] = _BREAK  # between words, where no id is
-        cut = _PARTS.findall("\n".join(texts).lower() + "\n")
-        new = list(set(cut).difference(parts))
+        single = "\n".join(lone[1]).lower().split("\n") if lone[0] else []
+        cut = _PARTS.findall("\n".join(marked[1]).lower() + "\n") if marked[0] else []
+        new = list({*single, *cut}.difference(parts))
         if new:
             self._encode_parts(new)
+        self.words.update(zip(lone[0], [parts[p] for p in single]))
         packed = b"".join([parts[p] for p in cut])
         ends = (4 * np.flatnonzero(np.frombuffer(packed, "<u4") == 0xFFFFFFFF)).tolist()
-        self.words.update(zip(words, [packed[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]))
+        self.words.update(zip(marked[0], [packed[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]))
 
     def encode(self, texts: Sequence[bytes | None], end_id: int) -> list[bytes]:
         """Packed ids of each text, ``end_id`` appended; a null text is an empty one."""
