@@ -11,9 +11,6 @@ from kindred.operators.blocking import both_sides
 from kindred.operators.components import components
 from kindred.sources.io import stable_id
 
-#: Pairs of a component that community detection takes in one task; larger components are split by stronger links first.
-COMPONENT_PAIRS = 50_000
-
 
 def noisy_or(weights: Column) -> Column:
     """One less the product of what each weight leaves open; weights are taken between 0 and 1, in sorted order."""
@@ -113,37 +110,20 @@ def communities(links: DataFrame, method: str = "leiden", resolution: float = K.
     """Community of every linked pair: id, community.
 
     ``components`` takes connected components. ``leiden`` splits each component
-    further, in a task of its own; a component of more than
-    :data:`COMPONENT_PAIRS` pairs is first cut to the components of its links of
-    at least median weight, until all fit or cutting changes nothing.
+    further, all its links kept, in a task of its own, whose memory grows with
+    the component.
     """
     whole = components(links.select("source_id", "target_id")).withColumnRenamed("root", "component")
     if method == "components":
         return whole.select(F.col("node").alias("id"), F.col("component").alias("community"))
     left = links.select("source_id", "target_id", "weight")
-    for _ in range(8):
-        large = whole.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > COMPONENT_PAIRS).select("component")
-        if not large.limit(1).count():
-            break
-        inside = left.join(whole.withColumnRenamed("node", "source_id"), "source_id").join(large, "component", "left_semi")
-        middle = inside.groupBy("component").agg(F.percentile_approx("weight", 0.5).alias("m"))
-        strong = inside.join(middle, "component").where("weight > m").select("source_id", "target_id", "weight")
-        calm = left.join(whole.withColumnRenamed("node", "source_id"), "source_id").join(large, "component", "left_anti").select("source_id", "target_id", "weight")
-        if not strong.limit(1).count():
-            break
-        left = calm.unionByName(strong)
-        split = components(left.select("source_id", "target_id")).withColumnRenamed("root", "component")
-        alone = whole.select("node").join(split.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
-        whole = split.unionByName(alone)
 
     def split_up(frame: pd.DataFrame) -> pd.DataFrame:
         found = communities_of(sorted({*frame["source_id"], *frame["target_id"]}), list(zip(frame["source_id"], frame["target_id"], frame["weight"])), resolution)
         return pd.DataFrame({"id": list(found), "community": list(found.values())}, dtype=object)
 
     kind = links.schema["source_id"].dataType.simpleString()
-    parts = left.join(whole.withColumnRenamed("node", "source_id"), "source_id").groupBy("component").applyInPandas(split_up, f"id {kind}, community {kind}")
-    alone = whole.join(parts.select(F.col("id").alias("node")), "node", "left_anti").select(F.col("node").alias("id"), F.col("component").alias("community"))
-    return parts.unionByName(alone)
+    return left.join(whole.withColumnRenamed("node", "source_id"), "source_id").groupBy("component").applyInPandas(split_up, f"id {kind}, community {kind}")
 
 
 def clusters(pairs: DataFrame, found: DataFrame) -> DataFrame:
