@@ -7,6 +7,7 @@ first score by what the tuner chose for the method.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -139,16 +140,23 @@ def match_names(rows: DataFrame, embeddings: DataFrame | None = None, existing:
 def near_pairs(points: DataFrame, metres: float, most_latitude: float = 85.0) -> DataFrame:
     """Pairs of points (entity_id, lat, lon) at most ``metres`` apart, with the distance.
 
-    Points fall into grid cells at least as wide as the distance; one side is
-    sent to the nine cells around it. Every pair meets in one cell. Points
-    beyond ``most_latitude`` are not paired.
+    Points fall into grid cells at least as wide as the distance up to
+    ``most_latitude``; one side is sent to the nine cells around it, around the
+    globe too. Rows of cells that reach beyond that latitude are one cell each.
+    Every pair meets in one cell. Latitudes beyond 90 degrees are no points.
     """
     sides = geo.cell_degrees(metres, most_latitude)
-    points = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & (F.abs("lat") <= most_latitude))
-    y, x = geo.cell(F.col("lat"), F.col("lon"), sides)
-    around = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
+    points = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & (F.abs("lat") <= 90))
+    # the longitudes that two points so near can differ by, at the last latitude of the grid
+    reach = math.sin(min(metres / geo.EARTH_METRES, math.pi) / 2) / math.cos(math.radians(most_latitude))
+    columns = max(int(360 // max(math.degrees(2 * math.asin(min(reach, 1.0))) * 1.0001, sides[1])), 1)
+    y = geo.cell(F.col("lat"), F.col("lon"), sides)[0]
+    x = F.least(F.floor(F.pmod(F.col("lon") + 180, F.lit(360.0)) * (columns / 360)).cast("long"), F.lit(columns - 1))
+    polar = lambda row: (row * sides[0] - 90 < -most_latitude) | ((row + 1) * sides[0] - 90 > most_latitude)
+    placed = lambda dy, dx: F.struct((F.col("y") + dy).alias("y"), F.when(polar(F.col("y") + dy), F.lit(0)).otherwise(F.pmod(F.col("x") + dx, F.lit(columns))).cast("long").alias("x"))
     home = points.withColumn("y", y).withColumn("x", x)
-    b = home.select(F.col("entity_id").alias("entity_id_2"), F.col("lat").alias("lat_2"), F.col("lon").alias("lon_2"), "y", "x")
+    around = F.explode(F.array_distinct(F.array(*[placed(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])))
+    b = home.select(F.col("entity_id").alias("entity_id_2"), F.col("lat").alias("lat_2"), F.col("lon").alias("lon_2"), placed(0, 0).alias("c")).select("entity_id_2", "lat_2", "lon_2", "c.y", "c.x")
     a = home.select(F.col("entity_id").alias("entity_id_1"), F.col("lat").alias("lat_1"), F.col("lon").alias("lon_1"), around.alias("c")).select("entity_id_1", "lat_1", "lon_1", "c.y", "c.x")
     met = a.join(b, ["y", "x"]).where("entity_id_1 < entity_id_2")
     return met.withColumn("metres", geo.haversine(F.col("lat_1"), F.col("lon_1"), F.col("lat_2"), F.col("lon_2"))).where(F.col("metres") <= metres).drop("y", "x")
