@@ -8,8 +8,8 @@ chosen. A text whose two best codewords have nearly equal loss is flagged.
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +22,11 @@ from kindred.llm.texts import LOWER_ASCII, held_out, map_slices, texts_of
 BINS = 2048
 #: Training rows at most (about equally many of each language).
 SAMPLE_ROWS = 4000
-#: Codewords of up to this many languages have every split of them; beyond, random splits.
-EXHAUSTIVE = 5
+#: Codewords have every split of the languages if these are at most so many (7 languages), else so many at random.
+FEW_SPLITS = 63
 RANDOM_BITS = 48
-#: Below this no language has most of the score and the text is ambiguous.
-AMBIGUOUS_BELOW = 0.5
+#: A text is ambiguous if the second best codeword's loss exceeds the best one's by less than this share of their sum.
+AMBIGUOUS_GAP = 0.5
 UNKNOWN = "und"
 SEED = 17
 
@@ -59,18 +59,23 @@ _LETTERS = bytes([*range(65, 91), *range(97, 123)])
 
 
 def codewords(n: int, seed: int = SEED) -> np.ndarray:
-    """Codewords of n classes, entries -1 and 1, one column a bit; columns are different splits in two."""
+    """Codewords of n classes, entries -1 and 1, one column a bit; columns are different splits in two.
+
+    A split is named by the classes (all but the first) on its other side, as a
+    number. There are ``2**(n-1) - 1``; where these are too many, each class
+    against the others is taken, so that any two codewords differ, and a draw
+    of the rest.
+    """
     if n <= 1:
         return np.ones((n, 1))
-    if n <= EXHAUSTIVE:
-        cols = [(1, *c) for c in product((-1, 1), repeat=n - 1)]
-        return np.array([c for c in cols if len(set(c)) == 2], dtype=float).T
-    rng, cols = np.random.default_rng(seed), set()
-    while len(cols) < RANDOM_BITS + n:
-        c = rng.choice((-1, 1), n)
-        if abs(c.sum()) < n - 1:
-            cols.add(tuple((c * c[0]).tolist()))
-    return np.array(sorted(cols), dtype=float).T
+    every = (1 << (n - 1)) - 1
+    splits = range(1, min(every, FEW_SPLITS) + 1)
+    if every > FEW_SPLITS:
+        rng, chosen = random.Random(seed), {1 << i for i in range(n - 1)} | {every}
+        while len(chosen) < n + RANDOM_BITS:  # of 127 splits at least
+            chosen.add(rng.randint(1, every))
+        splits = sorted(chosen)
+    return np.array([[1] * len(splits), *([-1 if s >> i & 1 else 1 for s in splits] for i in range(n - 1))], dtype=float)
 
 
 @dataclass
@@ -87,13 +92,15 @@ class LanguageModel:
         loss = np.logaddexp(0, -margin[:, None, :] * self.code[None])
         return (loss * self.trust).sum(axis=2)
 
-    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of the best language and its share in a soft-min over the losses."""
+    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the best language, its share in a soft-min over the losses, and the gap to the second best (0 to 1; 1 if there is none)."""
         loss = self.losses(x)
         p = np.exp(loss.min(axis=1, keepdims=True) - loss)
         p /= p.sum(axis=1, keepdims=True)
         best = loss.argmin(axis=1)
-        return best, p[np.arange(len(p)), best]
+        two = np.partition(loss, 1, axis=1)[:, :2] if loss.shape[1] > 1 else np.c_[np.zeros(len(loss)), np.ones(len(loss))]
+        gap = (two[:, 1] - two[:, 0]) / np.maximum(two.sum(axis=1), 1e-12)
+        return best, p[np.arange(len(p)), best], gap
 
 
 def train(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 200, rate: float = 4.0, l2: float = 1e-5) -> LanguageModel:
@@ -118,7 +125,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     The rows taken are those with the smallest hash of their id among each
     language's, up to an equal share of ``sample_rows``: the hash bound of a
-    language follows from its count over all documents.
+    language follows from its count over all documents. Where ids repeat so
+    often that this gives more than twice ``sample_rows`` rows, the
+    ``2 * sample_rows`` of the smallest hash of id and text are the sample.
     """
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = dict(known.groupBy("lang").count().collect())
@@ -140,37 +149,47 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(x, np.searchsorted(present, y), [languages[i] for i in present])
 
 
-def predict_texts(model: LanguageModel, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
+def predict_texts(model: LanguageModel, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and ambiguity of each text."""
     at = [i for i, t in enumerate(texts) if t and has_letter(t)] if model.languages else []
-    lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    lang, score, ambiguous = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
     for k in range(0, len(at), 512):
         part = at[k : k + 512]
-        best, p = model.predict(np.stack([features(texts[i]) for i in part]))
-        for i, j, v in zip(part, best.tolist(), p.tolist()):
-            lang[i], score[i] = model.languages[j], v
-    return lang, score
+        best, p, gap = model.predict(np.stack([features(texts[i]) for i in part]))
+        for i, j in zip(part, best.tolist()):
+            lang[i] = model.languages[j]
+        score[part], ambiguous[part] = p, gap < AMBIGUOUS_GAP
+    return lang, score, ambiguous
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, lang_pred, score, ambiguous.
 
-    Null texts and texts without a letter are ``und`` with score 0, as is every
-    text if nothing could be learned. Rows without an id and repeated rows are
+    Null texts and texts without a letter are ``und`` with score 0 and
+    ambiguous, as is every text if nothing could be learned. A text is also
+    ambiguous if its two best codewords have losses too close to each other, as
+    those of a text in two languages. Rows without an id and repeated rows are
     predicted like others; other columns are not read. No rows: no rows.
     """
 
     def run(piece):
-        lang, score = predict_texts(model, texts_of(piece, "text"))
-        return pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(lang), pa.array(score), pa.array(score < AMBIGUOUS_BELOW)], ["doc_id", "lang_pred", "score", "ambiguous"])
+        lang, score, ambiguous = predict_texts(model, texts_of(piece, "text"))
+        return pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(lang), pa.array(score), pa.array(ambiguous)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
     return map_slices(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "text", run, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language that isn't ambiguous."""
+    """The rows of ``docs``, all columns, whose text has a language that isn't ambiguous.
+
+    If nothing could be learned no text is rejected for its language, only
+    those that are null or have no letter.
+    """
 
     def run(piece):
-        lang, score = predict_texts(model, texts_of(piece, text_col))
-        return piece.filter(pa.array([x != UNKNOWN and v >= AMBIGUOUS_BELOW for x, v in zip(lang, score)]))
+        texts = texts_of(piece, text_col)
+        if not model.languages:
+            return piece.filter(pa.array([bool(t) and has_letter(t) for t in texts], pa.bool_()))
+        return piece.filter(pa.array(~predict_texts(model, texts)[2]))
 
     return map_slices(docs, text_col, run, docs.schema)

@@ -131,10 +131,75 @@ def test_language_id_without_examples(spark):
 
 
 def test_codewords():
-    for n in (2, 3, 4, 5, 9, 30):
+    for n in (*range(2, 14), 30, 90):
         code = language_id.codewords(n)
         assert code.shape[0] == n and len({tuple(r) for r in code.tolist()}) == n
         assert all(abs(col.sum()) < n for col in code.T)
+        assert code.shape[1] == 2 ** (n - 1) - 1 if n <= 7 else len({tuple(c) for c in code.T.tolist()}) == code.shape[1]
+
+
+def invented(n, rng):
+    """Vocabularies of n languages with letter habits of their own."""
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    out = {}
+    for k in range(n):
+        own = rng.sample(syllables, 12)
+        out[f"l{k}"] = ["".join(rng.choice(own) for _ in range(rng.randint(1, 3))) for _ in range(300)]
+    return out
+
+
+@pytest.mark.parametrize("n", [2, 6, 8])
+def test_language_id_of_many_languages(spark, n):
+    rng = random.Random(n)
+    words = invented(n, rng)
+    say = lambda k, m: " ".join(rng.choice(words[k]) for _ in range(m))
+    rows = [(i, say(f"l{i % n}", 80), f"l{i % n}") for i in range(60 * n)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(words)
+    tests = [(k, say(k, 80)) for k in words for _ in range(10)]
+    lang, score, ambiguous = language_id.predict_texts(model, [t.encode() for _, t in tests])
+    assert sum(a == k for a, (k, _) in zip(lang, tests)) > 0.97 * len(tests) and not ambiguous[score > 0.999].any() and ambiguous.mean() < 0.1
+    mixed = [" ".join(say(k, 40) + " " + say(other, 40) for _ in range(2)) for k, other in zip(sorted(words), sorted(words)[1:]) for _ in range(20)]
+    flags = language_id.predict_texts(model, [t.encode() for t in mixed])[2]
+    assert flags.mean() > 5 * ambiguous.mean() and flags.mean() > 0.3
+
+
+def slow_prediction(model, text):
+    """The decoder in plain loops: features by dictionary, a margin for each bit, a loss for each codeword."""
+    import math
+
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).encode()
+    b = bytes(x if x >= 128 or 97 <= x <= 122 else 32 for x in low)
+    while b"  " in b:
+        b = b.replace(b"  ", b" ")
+    b = b" " + b + b" "
+    grams = {}
+    for i in range(len(b) - 1):
+        k = ((b[i] << 8 | b[i + 1]) * 2654435761 & 0xFFFFFFFF) >> 21
+        grams[k] = grams.get(k, 0) + 1
+    for i in range(len(b) - 2):
+        h = (b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2246822519 & 0xFFFFFFFF
+        k = language_id.BINS + ((h ^ h >> 15) & language_id.BINS - 1)
+        grams[k] = grams.get(k, 0) + 1
+    total = 2 * (len(b) - 1)
+    margins = [float(model.bias[j]) + sum(math.sqrt(n / total) * float(model.weights[k][j]) for k, n in grams.items()) for j in range(model.code.shape[1])]
+    losses = [sum(float(t) * math.log1p(math.exp(-m * c)) for t, m, c in zip(model.trust, margins, row)) for row in model.code.tolist()]
+    best = min(range(len(losses)), key=losses.__getitem__)
+    first, second = sorted(losses)[:2]
+    return model.languages[best], 1 / sum(math.exp(losses[best] - x) for x in losses), (second - first) / (second + first)
+
+
+def test_language_id_equals_slow_decoder(spark, sample):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(df)
+    rows = [(i, t) for i, t in texts_of(sample) if t and any(c.isalpha() for c in t)][:120] + [(9000, "x" * 400_000), (9001, "l'été où"), (9002, "a der die das the of and")]
+    got = {r.doc_id: r for r in language_id.identify(H.docs(spark, rows), model).collect()}
+    for i, t in rows:
+        lang, score, gap = slow_prediction(model, t)
+        assert got[i].score == pytest.approx(score, abs=2e-3)
+        assert got[i].lang_pred == lang or score < 0.51
+        assert got[i].ambiguous == (gap < language_id.AMBIGUOUS_GAP) or abs(gap - language_id.AMBIGUOUS_GAP) < 1e-3
+    assert language_id.identify(H.docs(spark, []), model).count() == 0
 
 
 def test_classifier_held_out(spark):
