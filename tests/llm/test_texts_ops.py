@@ -1,7 +1,9 @@
 """Substring dedup, SimHash, quality rules, quality classifier, language ID."""
 
 import random
+from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +77,22 @@ def test_fingerprint_links_find_every_near_pair(spark):
     assert H.groups(fps, lambda a, b: frozenset((a, b)) in linked) == want
 
 
+def test_postings_tally_and_cut(monkeypatch):
+    rng = np.random.default_rng(4)
+    choices = simhash.free_positions(2)
+    assert all(any(set(two) <= set(c) for c in choices) for two in combinations(range(8), 2)) and len(choices) <= 14
+    free = choices[3]
+    base = int(rng.integers(0, 1 << 63))
+    fps = np.unique(np.array([base ^ sum(int(rng.integers(0, 1 << 3)) << (8 * p) for p in free) for _ in range(300)], "u8"))
+    shared = simhash.tally(fps[:5], fps)
+    assert all(shared[i, j] == sum((int(fps[i]) >> 8 * p & 255) == (int(fps[j]) >> 8 * p & 255) for p in range(8)) for i in range(5) for j in range(len(fps)))
+    want = H.groups(range(len(fps)), lambda a, b: (int(fps[a]) ^ int(fps[b])).bit_count() <= 2)
+    for limit in (1000, 2):
+        monkeypatch.setattr(simhash, "LONG_POSTING", limit)
+        links = {frozenset(x) for x in simhash.posting_links(fps, free)}
+        assert H.groups(range(len(fps)), lambda a, b: frozenset((a, b)) in links) == want
+
+
 def test_simhash_cases(spark):
     assert simhash.simhash_groups(H.docs(spark, [])).count() == 0
     rows = [(None, "a b c"), (4, "a b c"), (4, "a b c"), (9, None), (8, " ")]
