@@ -4,10 +4,14 @@ Vectors are compared within a label only. A label's unit vectors are dealt to
 the cells of centroids fitted on a bounded sample. Each vector lives in its
 nearest cell and visits every other cell that could hold a partner of it: for
 centroids c (home) and d, a partner that lives with d lies on d's side of the
-hyperplane halfway between them, and no partner is further than the link
-distance. So vectors visit a cell only from within the link distance of that
+hyperplane halfway between them, and no partner is at a larger angle than a
+link allows. So vectors visit a cell only from within the link's angle of that
 hyperplane, and no link is lost. Copies of one vector are compared once.
 
+How much that prunes is up to the vectors: clustered ones visit few cells,
+random ones of many dimensions nearly all, and are then compared with their
+whole label, in blocks.
+
 Cells are cut into blocks: a block of a cell's residents meets every block of
 its residents and visitors in a task of its own, as a product of matrices of
 bounded size. It gives the residents' counts of links and a spanning forest.
@@ -27,11 +31,16 @@ from kindred.operators.components import components
 from kindred.sources.storage import materialize, spread_join
 
 THRESHOLD = 0.93
-#: Vectors aimed at in a cell, and in a block.
-CELL_ROWS = 4096
-BLOCK_ROWS = 2048
-#: Centroids of all labels together, at most about; cells grow beyond that and are still compared whole.
-MAX_CENTROIDS = 8192
+#: Vectors aimed at in a cell, and in a block. Where cells prune little a vector travels to about n / BLOCK_ROWS tasks of its label,
+#: so blocks are as large as a task can well hold: 8 MB of 64 numbers, and a few seconds of products.
+CELL_ROWS = 16_384
+BLOCK_ROWS = 16_384
+#: Numbers of a block's vectors at most (8 MB): blocks of longer vectors have fewer rows.
+BLOCK_NUMBERS = 1 << 20
+#: Numbers of all labels' centroids together, at most about (32 MB); cells grow beyond that and are still compared whole, in blocks.
+CENTROID_NUMBERS = 4 << 20
+#: Cosines with centroids held at once.
+COSINES = 4 << 20
 #: Vectors of a label that its centroids are fitted on, at most about.
 SAMPLE_ROWS = 20_000
 STEPS = 8
@@ -54,15 +63,26 @@ def kmeans(x: np.ndarray, k: int, steps: int = STEPS, seed: int = 5) -> np.ndarr
 
 
 def visits(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Homes of unit vectors, and rows and cells of the visits that no link may miss."""
-    cos = x @ c.T
-    at = np.arange(len(x))
-    home = cos.argmax(axis=1)
-    apart = np.linalg.norm(c[:, None] - c[None], axis=2)[home]
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    near = cos[at, home][:, None] - cos <= reach * apart
-    near[at, home] = False
-    return home, *np.nonzero(near)
+    """Homes of unit vectors, and rows and cells of the visits that no link may miss.
+
+    The sine of the angle between a vector and the hyperplane halfway between
+    its centroid and another is their difference of cosines over the centroids'
+    distance; a partner on the other side is further than that angle.
+    """
+    reach = math.sqrt(max(0.0, 1 - max(threshold, 0.0) ** 2)) + 1e-9
+    homes, rows, cells = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0, int)]
+    step = max(1, COSINES // len(c))
+    for k in range(0, len(x), step):
+        cos = x[k : k + step] @ c.T
+        at, home = np.arange(len(cos)), cos.argmax(axis=1)
+        apart = np.sqrt(np.maximum(0.0, 2 - 2 * (c[home] @ c.T)))
+        near = cos[at, home][:, None] - cos <= reach * apart + 1e-12
+        near[at, home] = False
+        row, cell = np.nonzero(near)
+        homes.append(home)
+        rows.append(row + k)
+        cells.append(cell)
+    return np.concatenate(homes), np.concatenate(rows), np.concatenate(cells)
 
 
 def _units(column: pa.Array | pd.Series) -> np.ndarray:
@@ -90,9 +110,9 @@ def _forest(rows: np.ndarray, cols: np.ndarray, parent: list[int]) -> list[tuple
 
 
 def _centroids(classes: DataFrame, cell_rows: int) -> dict[str, np.ndarray]:
-    """Centroids of the groups that need several cells; their number is bounded by :data:`MAX_CENTROIDS`."""
-    total = classes.count()
-    cell_rows = max(cell_rows, math.ceil(total / MAX_CENTROIDS))
+    """Centroids of the groups that need several cells; their size is bounded by :data:`CENTROID_NUMBERS`."""
+    total, numbers = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    cell_rows = max(cell_rows, math.ceil(total * numbers / CENTROID_NUMBERS))
     large = classes.groupBy("grp").count().where(F.col("count") > cell_rows).withColumnRenamed("count", "n")
     drawn = spread_join(classes.select("key", "grp", "v"), large, ["grp"]).where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) * F.col("n") < F.lit((1 << 30) * SAMPLE_ROWS))
 
@@ -124,7 +144,10 @@ def _placed(classes: DataFrame, centers: dict[str, np.ndarray], threshold: float
 
 def _compared(placed: DataFrame, threshold: float, block_rows: int) -> DataFrame:
     """Rows (a, b, n): n links of a resident, or a link of a and b that a forest needs."""
-    sizes = placed.groupBy("grp", "cell").agg(F.ceil(F.sum(F.col("home").cast("int")) / block_rows).cast("int").alias("lefts"), F.ceil(F.count("*") / block_rows).cast("int").alias("rights")).where("lefts > 0")
+    held = F.least(F.lit(block_rows), F.greatest(F.lit(1), F.floor(BLOCK_NUMBERS / F.substring_index("grp", "/", -1).cast("int"))))
+    blocks = lambda n: F.ceil(n / held).cast("int")
+    sizes = placed.groupBy("grp", "cell").agg(F.sum(F.col("home").cast("int")).alias("own"), F.count("*").alias("all")).where("own > 0")
+    sizes = sizes.select("grp", "cell", blocks(F.col("own")).alias("lefts"), blocks(F.col("all")).alias("rights"))
     dealt = spread_join(placed, sizes, ["grp", "cell"]).withColumn("h", F.hash("key"))
     meet = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: F.struct(i.alias("i"), F.pmod("h", "rights").alias("j"), F.lit(False).alias("left")))
     stand = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda j: F.struct(F.pmod("h", "lefts").alias("i"), j.alias("j"), F.lit(True).alias("left")))

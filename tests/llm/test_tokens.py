@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as pb
 from tokenizers import Tokenizer
 
@@ -156,12 +157,27 @@ def test_embedding_groups_equal_brute_force(spark):
     roots = H.groups([r[0] for r in rows], linked)
     want = {i: (sum(linked(i, j) for j in roots if j != i), roots[i], roots[i] == i) for i in roots}
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for name in ("key", "grp", "v", "cell", "home", "copies", "root", "n_links"):  # names that the operator uses inside
+        df = df.withColumn(name, F.lit("x"))
     for sizes in ({}, {"cell_rows": 9, "block_rows": 5}):
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_groups(df, **sizes).collect()}
         assert got == want
     assert embedding_dedup.embedding_groups(df.where("false")).count() == 0
 
 
+def test_visits_lose_no_link():
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((60, 16))
+    x = base[rng.integers(0, 60, 900)] + rng.standard_normal((900, 16)) * 0.2
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = embedding_dedup.kmeans(x, 40)
+    home, row, cell = embedding_dedup.visits(x, c, 0.93)
+    seen = set(zip(row.tolist(), cell.tolist()))
+    a, b = np.nonzero(x @ x.T >= 0.93)
+    assert all(home[i] == home[j] or (i, home[j]) in seen for i, j in zip(a.tolist(), b.tolist()))
+    assert len(seen) < 0.5 * 900 * 39  # and some are spared
+
+
 def test_pipeline_stages(spark, sf):
     """Every stage against a plain version of its decision, on the stage's own input."""
     import hashlib
