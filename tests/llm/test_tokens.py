@@ -110,8 +110,14 @@ def test_packing(spark, texts):
             assert r.start == at and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes()) and r.doc_tokens == len(ids)
             at += r.length
         assert at == len(ids)
-    per_step = pieces.groupby("step_group").length.sum()
-    assert per_step.max() <= packing.STEP_TOKENS
+    whole = pieces[~pieces.sequence_id.isin([s for s, n in sizes.items() if n & (n - 1)])]
+    for step in (packing.STEP_TOKENS, 2 * packing.WINDOW):
+        again = packing.pack_documents(H.docs(spark, rows, True), WORD_BPE, step_tokens=step).toPandas()
+        ends = again.groupby("sequence_id").length.sum()
+        per_step = again[~again.sequence_id.isin([s for s, n in ends.items() if n & (n - 1)])].groupby("step_group").length.sum().sort_index()
+        # over all tasks and tiers, equal but for the last one
+        assert per_step.index.tolist() == list(range(len(per_step))) and set(per_step[:-1]) <= {step} and per_step.iloc[-1] <= step and len(per_step) > 3
+    assert whole.length.sum() > 0.98 * total
     assert packing.pack_documents(H.docs(spark, []), WORD_BPE).count() == 0
 
 
