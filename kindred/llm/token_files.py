@@ -14,10 +14,13 @@ exceptions, u32 their values less the minimum.
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,10 @@ from kindred.sources.storage import new_path
 
 MAGIC = b"KTOKPFR1"
 BLOCK = 1024
+#: Documents of a shard, at most about, where ids don't repeat; a task holds 24 bytes for each.
+SHARD_DOCS = 500_000
+#: Rows that a reader sends at once.
+READ_ROWS = 10_000
 #: Share of a block's values that must fit the packed width.
 PERCENTILE = 0.95
 _HEAD, _FOOT = struct.Struct("<IHBH"), struct.Struct("<QQQQQ8s")
@@ -111,10 +118,10 @@ class ShardWriter:
         self.at, self.starts, self.n = len(MAGIC), [], 0
         self.ids: list[bytes] = []
         self.waiting = 0
-        self.docs: list[tuple[int, int, int]] = []
+        self.docs = array("q")  # three numbers a document
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.docs.append((doc_id or 0, doc_id is not None, len(ids) // 4))
+        self.docs.extend((doc_id or 0, doc_id is not None, len(ids) // 4))
         self.ids.append(ids)
         self.waiting += len(ids)
         if self.waiting >= 4 * BLOCK * 512:
@@ -133,7 +140,7 @@ class ShardWriter:
 
     def close(self) -> tuple[int, int]:
         self._flush(True)
-        docs = np.array(self.docs, "<i8").reshape(-1, 3)
+        docs = np.frombuffer(self.docs, "i8").astype("<i8").reshape(-1, 3)
         self.out.write(np.array([*self.starts, self.at], "<u8").tobytes())
         self.out.write(docs.tobytes())
         self.out.write(_FOOT.pack(self.at, len(self.starts), len(docs), self.n, BLOCK, MAGIC))
@@ -154,7 +161,8 @@ class ShardReader:
         self.docs = np.frombuffer(self.file.read_at(24 * n_docs, at + 8 * (blocks + 1)), "<i8").reshape(-1, 3)
 
     def read(self, start: int, length: int) -> np.ndarray:
-        """Any run of ids, by the blocks that hold it."""
+        """Any run of ids, by the blocks that hold it; it ends where the shard ends."""
+        length = min(length, self.n_ids - start)
         if length <= 0:
             return np.empty(0, "<u4")
         a, b = start // self.block, (start + length - 1) // self.block
@@ -189,23 +197,29 @@ class Shard:
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> list[Shard]:
     """Encode ``docs`` and write shard files in ascending id order.
 
-    Ids are cut into ``shards`` ranges (as many as shuffle partitions by
-    default) at percentiles of the id column alone; each range is one task and
-    one file. The list returned has one entry a file.
+    Ids are cut into ``shards`` ranges (by default as many as shuffle
+    partitions, more where a shard would have over :data:`SHARD_DOCS` documents)
+    at percentiles of the id column alone; each range is one task and one file.
+    The list returned has one entry a file.
 
-    Null and empty texts hold the end id alone. Rows without an id come first.
-    Repeated ids are documents of their own, ordered by their text's hash.
+    Null and empty texts hold the end id alone. Rows without an id come first,
+    in shards of their own by ranges of their text's hash. Repeated ids are
+    documents of their own, ordered by their text's hash.
     No rows: no files. Other columns are not read.
     """
     spark = docs.sparkSession
     folder = (folder or new_path(spark, "tokens")).rstrip("/")
-    count = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    none, some = docs.agg(F.count_if(F.col(id_col).isNull()), F.count(id_col)).first()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = shards or max(parts, math.ceil(some / SHARD_DOCS))
+    first = min(shards or parts, none) if none < SHARD_DOCS else max(parts, math.ceil(none / SHARD_DOCS))
     at = [i / count for i in range(1, count)]
-    cuts = sorted(set((docs.agg(F.percentile_approx(id_col, at, 10_000).alias("c")).first().c if at else None) or []))
+    cuts = sorted(set((docs.agg(F.percentile_approx(id_col, at, max(10_000, 10 * count)).alias("c")).first().c if at else None) or []))
     below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(below))
-    rows = rows.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 32))  # 32 bits, not negative
+    rows = rows.withColumn("shard", F.when(F.col("doc_id").isNull(), F.shiftright(F.col("h") * first, 32)).otherwise(first + below).cast("int"))
+    rows = rows.repartitionById(first + len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "h").drop("h")
 
     def write(batches):
         from pyspark import TaskContext
@@ -247,8 +261,8 @@ def read_token_files(spark: SparkSession, shards: list[Shard]) -> DataFrame:
     def read(batches):
         for batch in batches:
             for i in batch.column("id").to_pylist():
-                rows = [(doc_id, shards[i].start + start, len(ids), zlib.crc32(ids)) for doc_id, start, ids in ShardReader(shards[i].uri).documents()]
-                for k in range(0, len(rows), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[k : k + 50_000])], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                rows = ((doc_id, shards[i].start + start, len(ids), zlib.crc32(ids)) for doc_id, start, ids in ShardReader(shards[i].uri).documents())
+                while some := list(islice(rows, READ_ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*some)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return spark.range(0, len(shards), 1, len(shards)).mapInArrow(read, schema)

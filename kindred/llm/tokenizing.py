@@ -4,8 +4,8 @@ The word-end BPE vocabulary drops white space and never merges across it, so a
 text's ids are its words' ids in order. Each worker keeps a bounded table of
 words it has met. A new word of ASCII and Latin-1 letters and marks is cut
 into its parts here, as the file's own pre-tokenizer would, and only parts not
-met before are given to the library's model, many at once. Any other new word
-goes through the library's whole chain.
+met before are given to the library's model, many at once. Any other new word,
+and any text that spells an added token, goes through the library's whole chain.
 """
 
 from __future__ import annotations
@@ -47,7 +47,8 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their spellings in a text are ordinary text
+        # a text that spells an added token gets its id, as the plain call of the library does
+        self.added = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()) or b"(?!)")
         self.parts_only = Tokenizer(self.tokenizer.model)
         self.parts_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = self.tokenizer.get_vocab()
@@ -94,7 +95,8 @@ class WordEncoder:
 
     def encode(self, texts: Sequence[bytes | None], end_id: int) -> list[bytes]:
         """Packed ids of each text, ``end_id`` appended; a null text is an empty one."""
-        split = [words_of(t) if t else () for t in texts]
+        spelt = {i for i, t in enumerate(texts) if t and self.added.search(t)}
+        split = [words_of(t) if t and i not in spelt else () for i, t in enumerate(texts)]
         if len(self.words) > TABLE_WORDS:
             self.words.clear()
         table = self.words
@@ -102,7 +104,11 @@ class WordEncoder:
         if new:
             self._encode_words(new)
         end = np.array([end_id], dtype="<u4").tobytes()
-        return [b"".join([table[w] for w in ws]) + end for ws in split]
+        out = [b"".join([table[w] for w in ws]) + end for ws in split]
+        for i in spelt:  # tokens may be spelt inside or across words: the library's whole chain
+            ids = self.tokenizer.encode(texts[i].decode("utf-8", "replace"), add_special_tokens=False).ids
+            out[i] = np.array([*ids, end_id], dtype="<u4").tobytes()
+        return out
 
 
 @functools.lru_cache(maxsize=2)

@@ -54,7 +54,8 @@ def test_codec_on_frames(spark):
 
 def test_word_encoder_equals_library(texts):
     e = WordEncoder(WORD_BPE)
-    want = [x.ids + [2] for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts = [*texts, "a<|endoftext|>b c", "x <|EndOfText|> y<|startoftext|>", "<|endoftext|>"]
+    want = [x.ids + [2] for x in Tokenizer.from_file(WORD_BPE).encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode([t.encode() for t in texts], 2)] == want
     assert e.encode([None], 2) == [np.array([2], "<u4").tobytes()]
 
@@ -75,7 +76,6 @@ def test_token_files(spark, texts, tmp_path):
     shards = token_files.write_token_files(H.docs(spark, rows, True), WORD_BPE, f"file://{tmp_path}/out", shards=5)
     got = token_files.read_token_files(spark, shards).orderBy("start").collect()
     tokenizer = Tokenizer.from_file(WORD_BPE)
-    tokenizer.encode_special_tokens = True
     at = 0
     seen = []
     for r in got:
@@ -85,17 +85,26 @@ def test_token_files(spark, texts, tmp_path):
     want = [(-1 if i is None else i, np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u4")) for i, t in rows]
     assert [s[0] for s in seen] == sorted(s[0] for s in seen)
     assert sorted(seen) == sorted((i, len(x), zlib.crc32(x.tobytes())) for i, x in want)
-    reader = token_files.ShardReader(shards[0].uri)
+    reader = token_files.ShardReader(max(shards, key=lambda s: s.n_ids).uri)
     everything = reader.read(0, reader.n_ids)
     assert np.array_equal(reader.read(7, 2000), everything[7:2007])
     assert token_files.write_token_files(H.docs(spark, []), WORD_BPE) == []
 
 
+def test_token_files_of_rows_without_id(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_DOCS", 10)
+    rows = [(None, f"text {i}") for i in range(60)] + [(i, "x " * 60_000 if i == 3 else f"word {i}") for i in range(25)]
+    shards = token_files.write_token_files(H.docs(spark, rows, True), WORD_BPE)
+    got = token_files.read_token_files(spark, shards).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 60 + list(range(25)) and max(s.n_docs for s in shards) < 40 and got[63].n_tokens == 60_001
+    assert [r.start for r in got][1:] == [r.start + r.n_tokens for r in got][:-1]
+    assert token_files.read_token_files(spark, []).count() == 0
+
+
 def test_packing(spark, texts):
     rows = [*enumerate(texts), (9000, None), (None, "x y"), (3, "dup"), (8000, "word " * 30_000)]
     pieces = packing.pack_documents(H.docs(spark, rows, True), WORD_BPE).toPandas()
     tokenizer = Tokenizer.from_file(WORD_BPE)
-    tokenizer.encode_special_tokens = True
     total = sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
     assert pieces.length.sum() == total
     sizes = pieces.groupby("sequence_id").length.sum()
