@@ -1,6 +1,7 @@
 import pytest
 from oracle import assert_same
 
+import kindred.plans.record_queries  # noqa: F401
 from kindred.plans.queries import ORACLES, QUERIES
 
 
