@@ -10,7 +10,10 @@ from kindred.operators import bandit, batching, blocking, entities, features, gr
 from kindred.plans.queries import _COMP, _FEATS, _GRAPH, _PHONES, _URLS, c, customer_features, graph_pairs, phone_rows, placed_pairs, query, r6, t, url_matches
 from kindred.sources import io, storage
 
-NOW = F.lit("2024-01-10 00:00:00").cast("timestamp")
+
+
+def now():
+    return F.lit("2024-01-10 00:00:00").cast("timestamp")
 
 
 # -- blocking and selection ---------------------------------------------------------------------
@@ -69,7 +72,7 @@ def worker_heartbeats(spark, sf):
 
 @query(f"WITH {_WORKERS} SELECT id FROM w WHERE NOT last_heartbeat < TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 3 DAY")
 def fresh_workers(spark, sf):
-    return workers.drop_stale(supplier_workers(spark, sf), NOW, 3 * 86_400).select("id")
+    return workers.drop_stale(supplier_workers(spark, sf), now(), 3 * 86_400).select("id")
 
 
 @query("""SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey < 15 THEN 'gpu' ELSE 'cpu' END AS worker_type, CASE WHEN n_nationkey < 15 THEN 1 ELSE 2 END AS created_at, CASE WHEN n_nationkey < 10 THEN 'old' ELSE 'new' END AS status FROM nation WHERE n_nationkey <> 12""")
@@ -124,7 +127,7 @@ def feedback_rewards(spark, sf):
 
 @query(f"WITH {_FEEDBACK} SELECT id, done OR id IN (SELECT id FROM taken) AS processed FROM f")
 def feedback_marked(spark, sf):
-    _, marked = bandit.process_feedback(bandit.default_arms(spark), *feedback_tables(spark, sf), NOW)
+    _, marked = bandit.process_feedback(bandit.default_arms(spark), *feedback_tables(spark, sf), now())
     return marked.select("id", c("processed_for_tuner_update_at").isNotNull().alias("processed"))
 
 
@@ -177,7 +180,7 @@ def pair_context_vectors(spark, sf):
 @query(f"WITH {_CONTEXTS} SELECT entity_id_1 || '-' || entity_id_2 AS entity_group_id, 'url' AS method, 0.9::DOUBLE AS pre, round(name_similarity, 6) AS tuned, 3 AS version, 31::BIGINT AS n, round(a0, 6) AS first FROM cx")
 def decision_snapshots(spark, sf):
     pairs = customer_pair_values(spark, sf).select("entity_id_1", "entity_id_2", F.concat_ws("-", "entity_id_1", "entity_id_2").alias("id"), F.lit("url").alias("method_type"), F.lit(0.9).alias("pre_rl_confidence_score"), r6("name_similarity").alias("confidence_score"))
-    d = bandit.decision_details(pairs, customer_contexts(spark, sf), "run", 3, NOW).withColumn("f", F.from_json("snapshotted_features", "array<double>"))
+    d = bandit.decision_details(pairs, customer_contexts(spark, sf), "run", 3, now()).withColumn("f", F.from_json("snapshotted_features", "array<double>"))
     return d.select("entity_group_id", c("method_type_at_decision").alias("method"), c("pre_rl_confidence").alias("pre"), c("tuned_confidence").alias("tuned"), c("confidence_tuner_version").alias("version"), F.size("f").cast("long").alias("n"), r6(c("f")[0]).alias("first"))
 
 
@@ -223,7 +226,7 @@ def weak_link_suggestions(spark, sf):
 def suggestion_reviews(spark, sf):
     null = F.lit(None)
     stored = t(spark, sf, "orders").select(c("o_orderkey").alias("id"), F.lit("PENDING_REVIEW").alias("status"), null.cast("string").alias("reviewer_id"), null.cast("timestamp").alias("reviewed_at"), F.lit("first").alias("review_notes"))
-    decided = stored.where("id % 3 = 0").select("id", F.lit("ann").alias("reviewer_id"), F.lit("APPROVED").alias("status"), NOW.alias("reviewed_at"), F.when(c("id") % 6 == 0, "seen").alias("review_notes"))
+    decided = stored.where("id % 3 = 0").select("id", F.lit("ann").alias("reviewer_id"), F.lit("APPROVED").alias("status"), now().alias("reviewed_at"), F.when(c("id") % 6 == 0, "seen").alias("review_notes"))
     return suggestions.review(stored, decided).select("id", "status", "reviewer_id", "review_notes")
 
 
@@ -270,7 +273,7 @@ def stored_embeddings(spark, sf):
     e = t(spark, sf, "embeddings").where("embedding is not null")
     services = e.select(c("vec_id").alias("id"), "label", F.when(c("vec_id") % 2 == 1, c("embedding")).alias("embedding_v2"), F.lit(None).cast("timestamp").alias("embedding_v2_updated_at"))
     results = e.where("vec_id % 4 = 0").select(c("vec_id").alias("service_id"), "embedding")
-    out = jobs.store_embeddings(services, results, NOW)
+    out = jobs.store_embeddings(services, results, now())
     return out.select("id", c("embedding_v2").isNotNull().alias("has_vector"), c("embedding_v2_updated_at").isNotNull().alias("changed"), "label")
 
 
