@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +14,9 @@ from kindred.operators.blocking import both_sides
 from kindred.operators.components import components
 from kindred.sources.io import stable_id
 
+#: Runs of community detection, each with its own order of nodes, of which the best is taken.
+STARTS = 4
+
 
 def noisy_or(weights: Column) -> Column:
     """One less the product of what each weight leaves open; weights are taken between 0 and 1, in sorted order."""
@@ -36,74 +42,149 @@ def formation_edges(links: DataFrame, run: str) -> DataFrame:
     return links.select(F.lit(run).alias("pipeline_run_id"), F.col("source_id").alias("source_group_id"), F.col("target_id").alias("target_group_id"), F.col("weight").alias("calculated_edge_weight"), F.to_json("shared").alias("contributing_shared_entities"))
 
 
+class _Level:
+    """One level of aggregation: neighbours with weights, weights inside nodes, and sums that modularity needs."""
+
+    def __init__(self, graph: list[dict[int, float]], loops: list[float], resolution: float):
+        self.graph, self.loops = graph, loops
+        self.strength = [sum(g.values()) + 2 * loops[i] for i, g in enumerate(graph)]
+        self.total = sum(self.strength)
+        self.scale = resolution / self.total if self.total else 0.0
+
+    def move(self, home: list[int], order: list[int]) -> list[int]:
+        """Move nodes to the neighbouring community of the largest gain until none gains."""
+        home, mass = home[:], [0.0] * len(home)
+        for i, h in enumerate(home):
+            mass[h] += self.strength[i]
+        waiting = deque(order)
+        queued = [True] * len(home)
+        while waiting:
+            i = waiting.popleft()
+            queued[i] = False
+            near: dict[int, float] = {home[i]: 0.0}
+            for j, w in self.graph[i].items():
+                near[home[j]] = near.get(home[j], 0.0) + w
+            own, k = home[i], self.strength[i] * self.scale
+            mass[own] -= self.strength[i]
+            best, most = own, near[own] - k * mass[own]
+            for c in sorted(near):
+                if near[c] - k * mass[c] > most + 1e-12:
+                    best, most = c, near[c] - k * mass[c]
+            mass[best] += self.strength[i]
+            if best != own:
+                home[i] = best
+                for j in self.graph[i]:
+                    if home[j] != best and not queued[j]:
+                        queued[j] = True
+                        waiting.append(j)
+        return home
+
+    def refine(self, home: list[int], order: list[int]) -> list[int]:
+        """Parts of communities: single nodes merge, inside their community, with the part of the largest gain.
+
+        Only nodes and parts that are well connected to the rest of their
+        community take part, so every part is connected.
+        """
+        n = len(home)
+        whole = [0.0] * n
+        for i, h in enumerate(home):
+            whole[h] += self.strength[i]
+        part, mass, size = list(range(n)), self.strength[:], [1] * n
+        cut = [sum(w for j, w in g.items() if home[j] == home[i]) for i, g in enumerate(self.graph)]
+        bound = lambda m, h: self.scale * m * (whole[h] - m) - 1e-12
+        for i in order:
+            if size[part[i]] != 1 or part[i] != i or cut[i] < bound(mass[i], home[i]):
+                continue
+            near: dict[int, float] = {}
+            for j, w in self.graph[i].items():
+                if home[j] == home[i]:
+                    near[part[j]] = near.get(part[j], 0.0) + w
+            best, most = i, 1e-12
+            for c in sorted(near):
+                gain = near[c] - self.scale * self.strength[i] * mass[c]
+                if c != i and gain > most and cut[c] >= bound(mass[c], home[i]):
+                    best, most = c, gain
+            if best != i:
+                part[i] = best
+                cut[best] += cut[i] - 2 * near[best]
+                mass[best] += mass[i]
+                size[best] += 1
+                size[i] = 0
+        return part
+
+    def quality(self, home: list[int]) -> float:
+        """Modularity of a partition, but for a constant factor."""
+        mass = [0.0] * len(home)
+        inside = 0.0
+        for i, h in enumerate(home):
+            mass[h] += self.strength[i]
+            inside += 2 * self.loops[i] + sum(w for j, w in self.graph[i].items() if home[j] == h)
+        return inside - self.scale * sum(m * m for m in mass)
+
+    def merged(self, part: list[int], resolution: float) -> tuple[_Level, list[int]]:
+        """The graph of parts, and each node's place in it."""
+        number = {p: k for k, p in enumerate(dict.fromkeys(part))}
+        at = [number[p] for p in part]
+        graph: list[dict[int, float]] = [{} for _ in number]
+        loops = [0.0] * len(number)
+        for i, g in enumerate(self.graph):
+            loops[at[i]] += self.loops[i]
+            for j, w in g.items():
+                if at[i] == at[j]:
+                    loops[at[i]] += w / 2
+                else:
+                    graph[at[i]][at[j]] = graph[at[i]].get(at[j], 0.0) + w
+        return _Level(graph, loops, resolution), at
+
+
+def _leiden(level: _Level, order: list[int], resolution: float, rounds: int) -> list[int]:
+    """Communities of a level's nodes; ``order`` is the order in which they are visited first."""
+    place, home = list(range(len(order))), list(range(len(order)))  # of nodes in the level, and of the level's nodes
+    for _ in range(rounds):
+        home = level.move(home, order)
+        above, up = level.merged(level.refine(home, order), resolution)
+        if len(above.graph) == len(level.graph):
+            break
+        named: dict[int, int] = {}  # communities, by their first part
+        start = [0] * len(above.graph)
+        for i, k in enumerate(up):
+            start[k] = named.setdefault(home[i], k)
+        level, home, place, order = above, start, [up[k] for k in place], list(range(len(above.graph)))
+    return [home[k] for k in place]
+
+
 def communities_of(nodes: list, links: list[tuple], resolution: float = K.LEIDEN_RESOLUTION, rounds: int = 10) -> dict:
-    """Communities of one component by modularity: local moves, refinement and aggregation, all in a fixed order.
+    """Communities of one component by modularity: local moves, refinement inside communities, aggregation of the refined parts.
 
-    ``links``: (source, target, weight). Every community is connected. Returns
-    each node's community, named by its smallest node.
+    The best of :data:`STARTS` runs with different, fixed orders of nodes, so
+    that equal input has equal results. ``links``: (source, target, weight). Every community is connected. Returns each node's
+    community, named by its smallest node.
     """
     order = sorted(nodes)
     at = {v: i for i, v in enumerate(order)}
     graph: list[dict[int, float]] = [{} for _ in order]
+    loops = [0.0] * len(order)
     for s, t, w in links:
         i, j = at[s], at[t]
-        graph[i][j] = graph[i].get(j, 0.0) + w
-        graph[j][i] = graph[j].get(i, 0.0) + w
-    loops = [0.0] * len(order)
-    members = [[i] for i in range(len(order))]
-    for _ in range(rounds):
-        n = len(graph)
-        strength = [sum(g.values()) + 2 * loops[i] for i, g in enumerate(graph)]
-        total = sum(strength)
-        if not total:
-            break
-        home = list(range(n))
-        mass = strength[:]
-        moved = True
-        while moved:
-            moved = False
-            for i in range(n):
-                near: dict[int, float] = {}
-                for j, w in graph[i].items():
-                    near[home[j]] = near.get(home[j], 0.0) + w
-                own = home[i]
-                mass[own] -= strength[i]
-                gain = lambda c: near.get(c, 0.0) - resolution * strength[i] * mass[c] / total  # noqa: B023, E731
-                best = own
-                for c in sorted(near):
-                    if gain(c) > gain(best) + 1e-12:
-                        best = c
-                mass[best] += strength[i]
-                if best != own:
-                    home[i] = best
-                    moved = True
-        # refinement: a community that fell apart becomes its connected parts
-        part = [-1] * n
-        count = 0
-        for i in range(n):
-            if part[i] < 0:
-                part[i], stack = count, [i]
-                while stack:
-                    for j in graph[v := stack.pop()]:
-                        if part[j] < 0 and home[j] == home[v]:
-                            part[j] = count
-                            stack.append(j)
-                count += 1
-        if count == n:
-            break
-        merged: list[dict[int, float]] = [{} for _ in range(count)]
-        inner, joined = [0.0] * count, [[] for _ in range(count)]
-        for i in range(n):
-            p = part[i]
-            inner[p] += loops[i]
-            joined[p] += members[i]
-            for j, w in graph[i].items():
-                if part[j] == p:
-                    inner[p] += w / 2
-                else:
-                    merged[p][part[j]] = merged[p].get(part[j], 0.0) + w
-        graph, loops, members = merged, inner, joined
-    return {order[i]: order[min(m)] for m in members for i in m}
+        if i == j:
+            loops[i] += w
+        else:
+            graph[i][j] = graph[i].get(j, 0.0) + w
+            graph[j][i] = graph[j].get(i, 0.0) + w
+    base = _Level(graph, loops, resolution)
+    label = max((_leiden(base, random.Random(k).sample(range(len(order)), len(order)) if k else list(range(len(order))), resolution, rounds) for k in range(STARTS)), key=base.quality)
+    out: dict = {}
+    for i, v in enumerate(order):  # in order, so that the first node met is the smallest; what isn't connected is apart
+        if v in out:
+            continue
+        out[v], stack = v, [i]
+        while stack:
+            k = stack.pop()
+            for j in graph[k]:
+                if order[j] not in out and label[j] == label[i]:
+                    out[order[j]] = v
+                    stack.append(j)
+    return out
 
 
 def communities(links: DataFrame, method: str = "leiden", resolution: float = K.LEIDEN_RESOLUTION) -> DataFrame:
