@@ -29,13 +29,13 @@ class Run:
     seconds: dict[str, float] = field(default_factory=dict)
 
 
-def all_matches(found: DataFrame, tables: dict[str, DataFrame], existing: DataFrame, arms: DataFrame | None) -> DataFrame:
+def all_matches(found: DataFrame, tables: dict[str, DataFrame], existing: DataFrame, arms: DataFrame | None, run: str = "", explore: float = bandit.EPSILON) -> DataFrame:
     """New pairs of all matchers. ``found``: entities (id, organization_id, name) with records in ``tables['entity_feature']``."""
     f = tables["entity_feature"]
     org = found.select(F.col("id").alias("entity_id"), F.col("organization_id")).join(tables["organization"].select(F.col("id").alias("organization_id"), "name", "email", "url", "embedding"), "organization_id")
     service = entities.feature_rows(f, tables["service"], "service")
     place = entities.feature_rows(f, tables["location"], "location")
-    tune = (lambda p: bandit.tune(p, arms)) if arms is not None else None
+    tune = (lambda p: bandit.tune(p, arms, explore, run)) if arms is not None else None
     parts = [
         matchers.match_emails(org.select("entity_id", "email").union(service.select("entity_id", "email")), existing, tune),
         matchers.match_phones(entities.feature_rows(f, tables["phone"], "phone"), existing, tune),
@@ -47,14 +47,17 @@ def all_matches(found: DataFrame, tables: dict[str, DataFrame], existing: DataFr
     return reduce(DataFrame.unionByName, parts).select(stable_id(*map(F.col, PAIR_KEYS)).alias("id"), *matchers.RESULT)
 
 
-def run(tables: dict[str, DataFrame], name: str, arms: DataFrame | None = None) -> Run:
-    """One run over the tables; running again with its results stored adds nothing."""
+def run(tables: dict[str, DataFrame], name: str, arms: DataFrame | None = None, explore: float = bandit.EPSILON) -> Run:
+    """One run over the tables; running again with its results stored adds nothing.
+
+    With ``arms``, a share ``explore`` of the pairs tries an arm other than the best.
+    """
     new_entities = materialize(entities.extract_entities(tables["organization"], tables["entity"]), "entities")
     every = tables["entity"].select("id", "organization_id", "name").unionByName(new_entities)
     links = materialize(entities.link_entity_features(every, tables, tables["entity_feature"]), "links")
     tables = tables | {"entity_feature": tables["entity_feature"].select("id", "entity_id", "table_name", "table_id").unionByName(links)}
     old = tables["entity_group"]
-    pairs = materialize(new_rows(all_matches(every, tables, old, arms), old, PAIR_KEYS).withColumn("group_cluster_id", F.lit(None).cast("string")), "pairs")
+    pairs = materialize(new_rows(all_matches(every, tables, old, arms, name, explore), old, PAIR_KEYS).withColumn("group_cluster_id", F.lit(None).cast("string")), "pairs")
     graph_links = materialize(graph.pair_graph(pairs), "graph")
     found = materialize(graph.communities(graph_links), "communities")
     records = graph.clusters(pairs, found)
