@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.texts import TABLES, map_slices
+from kindred.llm.texts import TABLES, drop_tables, map_slices
 
 MARK = "▁"
 #: Words held per worker; the table is emptied when it is full.
@@ -265,6 +265,8 @@ def codec(model_file: str) -> SentencePieceCodec:
 
 
 TABLES["pieces"] = codec.cache_clear
+#: Documents decoded at once.
+DECODED_ROWS = 256
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -287,19 +289,33 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
 
 
 def decode_documents(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row a document: doc_id, text. Null ids: null text."""
+    """One row a document: doc_id, text.
+
+    Null ids have a null text, no ids an empty one. Rows without an id and
+    repeated rows are decoded like others; other columns are not read. No rows:
+    no rows.
+    """
 
     def run(batches):
+        drop_tables("pieces")
         c = codec(model_file)
         for batch in batches:
-            texts = [None if x is None else c.decode(np.array(x, "<u4").tobytes()) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+            for k in range(0, batch.num_rows, DECODED_ROWS):  # the ids of few documents are Python lists at once
+                part = batch.slice(k, DECODED_ROWS)
+                ids = part.column("ids")
+                texts = [c.decode(ids[i].values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) if ids[i].is_valid else None for i in range(len(ids))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode in one pass: doc_id, n_tokens, ids_crc32, decoded_crc32 (of the decoded UTF-8), round_trip (decoded text equals the text; null texts count as empty)."""
+    """Encode and decode in one pass: doc_id, n_tokens, ids_crc32, decoded_crc32 (of the decoded UTF-8), round_trip.
+
+    The last tells whether the decoded text equals the text; null texts count
+    as empty. Rows without an id and repeated rows are coded like others; other
+    columns are not read. No rows: no rows.
+    """
 
     def run(piece):
         c = codec(model_file)

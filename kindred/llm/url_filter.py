@@ -25,6 +25,7 @@ LOCAL_RULE_BYTES = 32 << 20
 #: Urls looked at to choose the ranges.
 RANGE_SAMPLE = 20_000
 DEFAULT_VERDICT = "allow"
+ADDED = ("host", "path", "rule", "verdict")
 
 
 def reversed_host(host: str) -> str:
@@ -83,13 +84,14 @@ class Sweep:
 
 
 def sorted_rules(rules: Iterable[tuple[str, str, str]]) -> list[tuple[str, list[tuple[str, str, str]]]]:
-    """Rules (host, path, verdict) as (key, [(path, rule, verdict)]) in order; of repeated rules, block wins."""
+    """Rules (host, path, verdict) as (key, [(path, rule, verdict)]) in order; of repeated rules block wins, then the smallest verdict."""
     chosen: dict[tuple[str, str], str] = {}
     for host, path, verdict in rules:
         if host is None:
             continue
         at = (host.translate(str.maketrans(UPPER, LOWER)), path or "")
-        chosen[at] = "block" if "block" in (verdict, chosen.get(at)) else verdict
+        both = [v for v in (verdict, chosen.get(at)) if v is not None]
+        chosen[at] = "block" if "block" in both else min(both, default=None)
     by: dict[str, list[tuple[str, str, str]]] = {}
     for (host, path), verdict in chosen.items():
         by.setdefault(reversed_host(host), []).append((path, host + path, verdict))
@@ -112,9 +114,14 @@ def _sweep(batches: Iterable[pa.RecordBatch], rules: Iterator[tuple[str, list]],
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], [*names, "rule", "verdict"])
 
 
+def _kept(keep: list[str]) -> list[str]:
+    return [k for k in keep if k.lower() not in ADDED]
+
+
 def _keyed(urls: DataFrame, keep: list[str], url_col: str) -> DataFrame:
+    """Kept columns under names of our own, host, path and the sort key."""
     host, path = host_and_path(F.col(url_col).cast("string"))
-    kept = urls.select(*keep, host.alias("host"), path.alias("path"))
+    kept = urls.select(*[F.col(k).alias(f"keep_{i}") for i, k in enumerate(keep)], host.alias("host"), path.alias("path"))
     return kept.withColumn("_key", F.concat(F.array_join(F.reverse(F.split("host", r"\.")), "."), F.lit(".")))
 
 
@@ -122,26 +129,34 @@ def filter_urls(urls: DataFrame, rules: list[tuple[str, str, str]] | DataFrame,
     """Judge every row's url: columns ``keep``, host, path, rule, verdict.
 
     ``rules`` are (host, path, verdict), as a list or as a DataFrame of such
-    columns. A list that is small enough is merged with every partition of
-    urls, which are sorted where they are, without a shuffle. A larger one is
-    dealt by ranges of keys along with the urls (:func:`filter_urls_by_range`).
+    columns. Rules of up to :data:`LOCAL_RULE_BYTES` are broadcast and merged
+    with every partition of urls, which are sorted where they are, without a
+    shuffle. More are dealt by ranges of keys along with the urls
+    (:func:`filter_urls_by_range`), with the same result.
 
     Null urls and urls without ``://`` have empty host and path, which no rule
-    fits, and get the ``default``. Rules without a host are left out, a null
-    path fits all paths; of rules that contradict each other, block wins.
-    Repeated urls are judged each. Columns not in ``keep`` are dropped; a
-    column of ``keep`` may not be one of those added. No rows: no rows.
+    fits, and get the ``default``, as do urls whose rule has no verdict. Rules
+    without a host are left out, a null path fits all paths; of rules that
+    contradict each other block wins, then the smallest verdict. Repeated urls
+    are judged each. Columns not in ``keep`` are dropped, whatever their names;
+    a column of ``keep`` that has the name of one of those added is replaced by
+    it. No rows: no rows.
     """
+    spark = urls.sparkSession
+    size = lambda *words: sum(len((w or "").encode()) for w in words) + 64
     if isinstance(rules, DataFrame):
-        size = rules.agg(F.sum(F.coalesce(F.octet_length(rules.columns[0]), F.lit(0)) + F.coalesce(F.octet_length(rules.columns[1]), F.lit(0)) + 64)).first()[0] or 0
-        if size > LOCAL_RULE_BYTES:
+        width = sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in rules.columns[:2]) + 64
+        if (rules.agg(F.sum(width)).first()[0] or 0) > LOCAL_RULE_BYTES:
             return filter_urls_by_range(urls, rules, keep, url_col, default)
         rules = [tuple(r) for r in rules.collect()]
-    ready = sorted_rules(rules)
+    elif sum(size(*r[:2]) for r in rules) > LOCAL_RULE_BYTES:
+        return filter_urls_by_range(urls, spark.createDataFrame(rules, "host string, path string, verdict string"), keep, url_col, default)
+    ready = spark.sparkContext.broadcast(sorted_rules(rules))
+    keep = _kept(keep)
     keyed = _keyed(urls, keep, url_col)
     names = [c for c in keyed.columns if c != "_key"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema if f.name != "_key") + ", rule string, verdict string"
-    return keyed.sortWithinPartitions("_key").mapInArrow(lambda batches: _sweep(batches, iter(ready), names, default), schema)
+    return keyed.sortWithinPartitions("_key").mapInArrow(lambda batches: _sweep(batches, iter(ready.value), names, default), schema).toDF(*keep, *ADDED)
 
 
 def filter_urls_by_range(urls: DataFrame, rules: DataFrame, keep: list[str], url_col: str = "url", default: str = DEFAULT_VERDICT, ranges: int | None = None) -> DataFrame:
@@ -149,10 +164,13 @@ def filter_urls_by_range(urls: DataFrame, rules: DataFrame, keep: list[str], url
 
     Range bounds come from a bounded sample of the urls' keys and affect only
     the balance. A rule's host goes to every range that its interval meets, and
-    to every part of a range whose urls are many.
+    to every part of a range whose urls are many. Nulls, repeated rows, names
+    and empty tables are as in :func:`filter_urls`; without rules every url
+    gets the ``default``.
     """
     spark = urls.sparkSession
     count = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keep = _kept(keep)
     keyed = _keyed(urls, keep, url_col)
     total = keyed.count()
     drawn = keyed.select("_key").sample(min(1.0, RANGE_SAMPLE / max(total, 1)), seed=11).limit(2 * RANGE_SAMPLE)
@@ -170,7 +188,7 @@ def filter_urls_by_range(urls: DataFrame, rules: DataFrame, keep: list[str], url
     clean = clean.select("host", "path", F.when(F.col("b") == 0, "block").otherwise(F.col("v")).alias("verdict")).withColumn("_key", F.concat(F.array_join(F.reverse(F.split("host", r"\.")), "."), F.lit(".")))
     spread = clean.withColumn("_range", F.explode(F.sequence(place(F.col("_key")), place(F.concat("_key", F.lit(chr(0x10FFFF))))))).withColumn("_part", F.explode(F.sequence(F.lit(0), many - 1)))
     left = spread.select("_range", "_part", "_key", F.lit(0).alias("_kind"), F.col("path").alias("_path"), F.concat("host", "path").alias("_rule"), F.col("verdict").alias("_verdict"), *[F.lit(None).cast(keyed.schema[n].dataType).alias(n) for n in names])
-    right = keyed.withColumn("_range", place(F.col("_key"))).withColumn("_part", F.pmod(F.xxhash64("_key", "path", *[F.col(n) for n in keep]), many).cast("int"))
+    right = keyed.withColumn("_range", place(F.col("_key"))).withColumn("_part", F.pmod(F.xxhash64("_key", *names), many).cast("int"))
     right = right.select("_range", "_part", "_key", F.lit(1).alias("_kind"), "path", F.lit(None).cast("string"), F.lit(None).cast("string"), *names)
     both = left.union(right).repartition(count, "_range", "_part").sortWithinPartitions("_range", "_part", "_key", "_kind", "_path")
 
@@ -201,4 +219,4 @@ def filter_urls_by_range(urls: DataFrame, rules: DataFrame, keep: list[str], url
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(rule, pa.string()), pa.array(judged, pa.string())], [*names, "rule", "verdict"])
 
     schema = ", ".join(f"`{n}` {keyed.schema[n].dataType.simpleString()}" for n in names) + ", rule string, verdict string"
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(run, schema).toDF(*keep, *ADDED)

@@ -52,6 +52,21 @@ def test_codec_on_frames(spark):
     assert sentencepiece_codec.round_trip(H.docs(spark, []), PIECE_BPE).count() == 0
 
 
+def test_round_trip_query_equals_library(spark, texts):
+    rows = [*enumerate(texts), (9000, None), (None, "a  b"), (3, "dup"), (3, "dup"), (9001, "längeres Wort " * 40_000)]
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    out = sentencepiece_codec.round_trip(H.docs(spark, rows, True), PIECE_BPE).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    want = []
+    for i, t in rows:
+        ids = lib.encode(t or "")
+        back = lib.decode(ids)
+        want.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), zlib.crc32((t or "").encode())))
+        assert len(ids) > 0 or not (t or "").strip() or back == ""
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32, r.decoded_crc32) for r in out), key=key) == sorted(want, key=key)
+    assert all(r.round_trip for r in out)
+
+
 def test_word_encoder_equals_library(texts):
     e = WordEncoder(WORD_BPE)
     texts = [*texts, "a<|endoftext|>b c", "x <|EndOfText|> y<|startoftext|>", "<|endoftext|>"]
@@ -157,6 +172,21 @@ def test_url_filter(spark, sf):
     assert url_filter.filter_urls(df.where("false"), rules, ["page_id"]).count() == 0
 
 
+def test_url_filter_paths_agree(spark, monkeypatch):
+    rows = [(i, u, "mine", "k", "r") for i, u in enumerate(["http://a.org/x", "http://b.a.org/x/y", "http://c.com/", None, "http://a.org/x", "http://" + "long." * 2000 + "org/" + "p" * 20_000])]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, _key string, _range string")
+    rules = [("a.org", "/x", "review"), ("a.org", "/x", "allow"), ("A.org", "/x", None), ("c.com", None, "block"), ("c.com", "", "allow"), (None, "/", "block"), ("org", "/p", "block")]
+    outs = []
+    for limit in (32 << 20, 0):
+        monkeypatch.setattr(url_filter, "LOCAL_RULE_BYTES", limit)
+        out = url_filter.filter_urls(df, rules, ["page_id", "host", "_key", "_range"])
+        assert out.columns == ["page_id", "_key", "_range", "host", "path", "rule", "verdict"]
+        outs.append(sorted(map(tuple, out.collect())))
+        assert url_filter.filter_urls(df.where("false"), rules, ["page_id"]).count() == 0
+        assert {r.verdict for r in url_filter.filter_urls(df, spark.createDataFrame([], "host string, path string, verdict string"), ["page_id"]).collect()} == {"allow"}
+    assert outs[0] == outs[1] and [r[-1] for r in outs[0]] == ["allow", "allow", "block", "allow", "allow", "block"] and outs[0][0][1:3] == ("k", "r")
+
+
 def test_embedding_groups_equal_brute_force(spark):
     rng = np.random.default_rng(6)
     rows = []
@@ -199,6 +229,7 @@ def test_pipeline_stages(spark, sf):
 
     import corpus_pipeline
     from kindred.llm import quality_rules
+    from test_near_copies import shingle_set, similar
 
     docs = first = spark.read.parquet(f"{sf}/documents.parquet").cache()
     ins, outs = {}, {}
@@ -211,16 +242,21 @@ def test_pipeline_stages(spark, sf):
     assert outs["language_id"] == {i: t for i, t in ins["language_id"].items() if any(c.isalpha() for c in t) and i in outs["language_id"]} and len(outs["language_id"]) > 0.95 * len(ins["language_id"])
     judged = {i: quality_rules.judge(t.encode()) for i, t in ins["quality_rules"].items()}
     assert outs["quality_rules"] == {i: t.decode() for i, (v, t) in judged.items() if v[-1]}
-    fps = {i: H.simhash(t) for i, t in ins["simhash_dedup"].items()}
-    roots = H.groups(list(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    sets = {i: shingle_set(t) for i, t in ins["simhash_dedup"].items()}
+    roots = H.groups(list(sets), lambda a, b: similar(sets[a], sets[b]))
     assert outs["simhash_dedup"] == {i: t for i, t in ins["simhash_dedup"].items() if roots[i] == i}
     want = H.repeats(list(ins["substring_dedup"].items()))
     got = outs["substring_dedup"]
     assert set(got) == set(want)
     for i, (_, removed, digest) in want.items():
         assert got[i] == ins["substring_dedup"][i] if not removed else hashlib.sha256(got[i].encode()).hexdigest() == digest
-    pieces = corpus_pipeline.run(spark, sf)
-    assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == set(got)
+    pieces = corpus_pipeline.run(spark, sf).toPandas()
+    assert set(pieces.doc_id) == set(got)
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    for i in sorted(got)[:60]:  # the last stage packs the texts as they are now
+        ids = np.array(tokenizer.encode(got[i], add_special_tokens=False).ids + [2], "<u4")
+        mine = pieces[pieces.doc_id == i].sort_values("start")
+        assert mine.length.sum() == len(ids) and all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in mine.itertuples())
 
 
 def test_queries_equal_sql(spark, sf):
