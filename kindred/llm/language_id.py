@@ -8,6 +8,7 @@ chosen. A text whose two best codewords have nearly equal loss is flagged.
 
 from __future__ import annotations
 
+import pickle
 import random
 from dataclasses import dataclass
 
@@ -132,8 +133,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = dict(known.groupBy("lang").count().collect())
     languages = sorted(counts)
+    untaught = LanguageModel([], np.ones((0, 1)), np.zeros((2 * BINS, 1), "f4"), np.zeros(1), np.ones(1))
     if not languages:
-        return LanguageModel([], np.ones((0, 1)), np.zeros((2 * BINS, 1), "f4"), np.zeros(1), np.ones(1))
+        return untaught
     each = max(1, sample_rows // len(languages))
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, each / n))])
     drawn = known.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
@@ -142,11 +144,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         x = [features(t).astype("f2").tobytes() for t in texts_of(piece, "text")]
         return pa.RecordBatch.from_arrays([piece.column("lang"), pa.array(x, pa.binary()), piece.column("h")], ["lang", "x", "h"])
 
-    found = map_slices(drawn.withColumn("h", F.xxhash64("doc_id", "text")), "text", run, "lang string, x binary, h long").orderBy("h").limit(2 * sample_rows).collect()
-    y = np.array([languages.index(r.lang) for r in found])
-    x = np.frombuffer(b"".join(bytes(r.x) for r in found), "f2").reshape(len(found), -1).astype("f4")
-    present = sorted(set(y.tolist()))
-    return train(x, np.searchsorted(present, y), [languages[i] for i in present])
+    def learn(batches):
+        """The one task that has the sample: only the model leaves it."""
+        drawn = [b for b in batches if b.num_rows]
+        if not drawn:
+            return
+        table = pa.Table.from_batches(drawn)
+        known = sorted(table.column("lang").unique().to_pylist())
+        y = np.array([known.index(v) for v in table.column("lang").to_pylist()])
+        x = np.frombuffer(b"".join(table.column("x").to_pylist()), "f2").reshape(len(y), -1).astype("f4")
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(x, y, known))], pa.binary())], ["model"])
+
+    sample = map_slices(drawn.withColumn("h", F.xxhash64("doc_id", "text")), "text", run, "lang string, x binary, h long").orderBy("h").limit(2 * sample_rows)
+    found = sample.select("lang", "x").mapInArrow(learn, "model binary").first()
+    return pickle.loads(bytes(found.model)) if found else untaught
 
 
 def predict_texts(model: LanguageModel, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:

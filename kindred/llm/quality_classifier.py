@@ -157,7 +157,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on labelled documents that aren't held out: all of them, or the share of ``sample_rows`` by a hash of the id.
 
     Null labels and null texts are not used, and an id with several labels has
-    the smallest. With no labelled rows every score is 0.5.
+    the smallest. Where ids of documents repeat so often that more than
+    ``4 * sample_rows`` rows come, the first by id and features are the sample.
+    With no labelled rows every score is 0.5.
     """
     chosen = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).cast("int").alias("label"))
     count = chosen.count()
