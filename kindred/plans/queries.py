@@ -6,6 +6,7 @@ part of entities, services, workers and so on.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -171,7 +172,14 @@ def confidence_classes(spark, sf):
     return all_pairs(spark, sf).select("entity_id_1", "entity_id_2", "method_type", bandit.confidence_class(c("confidence_score")).alias("class"))
 
 
-@query()
+@query(f"""WITH {_EMAILS}, {_PHONES}, {_URLS},
+em AS (SELECT key, doc_id, min(email) AS o FROM e2 WHERE key <> '' GROUP BY ALL),
+ph AS (SELECT key, doc_id, min(number) AS o FROM p3 WHERE key <> '' GROUP BY ALL),
+ev AS (SELECT a.doc_id AS x, b.doc_id AS y, key, a.o AS o1, b.o AS o2, (CASE WHEN regexp_matches(key, '^(info|contact|office|admin)@') THEN 0.9 ELSE 1.0 END) * (CASE WHEN f > 10 THEN 0.85 WHEN f > 5 THEN 0.92 ELSE 1.0 END) AS s FROM em a JOIN em b USING (key) JOIN ef USING (key) WHERE a.doc_id < b.doc_id),
+pv AS (SELECT a.doc_id AS x, b.doc_id AS y, key, a.o AS o1, b.o AS o2 FROM ph a JOIN ph b USING (key) WHERE a.doc_id < b.doc_id)
+SELECT x AS entity_id_1, y AS entity_id_2, 'Email' AS kind, o1 AS value_1, o2 AS value_2, key AS shared FROM ev QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY s DESC, key) = 1
+UNION ALL SELECT x, y, 'Phone', o1, o2, key FROM pv QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY key) = 1
+UNION ALL SELECT a.page_id, b.page_id, 'Url', p.url, q.url, a.domain FROM u4 a JOIN u4 b ON a.domain = b.domain AND a.page_id < b.page_id JOIN pages p ON p.page_id = a.page_id JOIN pages q ON q.page_id = b.page_id WHERE NOT a.ignored""")
 def match_evidence(spark, sf):
     return suggestions.evidence(all_pairs(spark, sf))
 
@@ -212,7 +220,80 @@ def titles(spark, sf) -> DataFrame:
     return t(spark, sf, "pages").select(c("page_id").alias("entity_id"), F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("name"))
 
 
-@query()
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _in_turn(value: str, *steps: str) -> str:
+    """SQL of steps that each take the one before, written ``@``."""
+    return reduce(lambda v, step: step.replace("@", v), steps, value)
+
+
+def _replaced(value: str, rules) -> str:
+    return _in_turn(value, *[f"replace(@, {_quoted(a)}, {_quoted(b)})" for a, b in rules])
+
+
+def _whole_words(pattern: str, new: str) -> str:
+    """SQL that replaces whole words. DuckDB takes letters beyond ASCII for ends of words, so ends are spelt out; of neighbours only a second time meets the other."""
+    inner = _quoted(pattern.removeprefix(r"\b").removesuffix(r"\b").replace("(", "(?:"))[1:-1]
+    return rf"regexp_replace(@, '(^|[^\p{{L}}\p{{N}}_])(?:{inner})([^\p{{L}}\p{{N}}_]|$)', '\1{new}\2', 'g')"
+
+
+# each step is a column of its own table, so that none is written out twice
+_NAME_STEPS = [
+    *[f"CASE WHEN starts_with(m, {_quoted(x)}) THEN trim(substr(m, {len(x) + 1})) ELSE m END" for x in K.NOISE_PREFIXES],
+    _replaced("m", K.NAME_CHARACTERS),
+]
+_TAIL_STEPS = [
+    "CASE kind " + " ".join(f"WHEN '{k}' THEN {_replaced('m', rules)}" for k, rules in K.TYPE_REPLACEMENTS.items()) + " ELSE m END",
+    _in_turn("m", *[f"regexp_replace(@, '^{a}', '')" for a in K.NAME_ARTICLES]),
+    "CASE WHEN kind IS NOT DISTINCT FROM 'city' THEN m ELSE " + _in_turn("m", *[rf"regexp_replace(@, '\s+{re.escape(x)}$', '')" for x in K.NAME_SUFFIXES]) + " END",
+    _in_turn("m", *[_whole_words(pattern, new) for pattern, new in K.NAME_ABBREVIATIONS for _ in range(2)]),
+    r"trim(regexp_replace(regexp_replace(m, '[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g'))",
+]
+
+
+def _normal_names(rows: str) -> str:
+    """CTEs that end in nm (entity_id, original, name, kind), from a query of entity_id and original."""
+    ctes = [f"nm_0 AS (SELECT entity_id, original, lower(original) AS m FROM ({rows}))"]
+    for i, step in enumerate(_NAME_STEPS):
+        ctes.append(f"nm_{i + 1} AS (SELECT entity_id, original, {step} AS m FROM nm_{i})")
+    kind = "CASE " + " ".join(f"WHEN contains(m, {_quoted(a)}) THEN '{k}'" for a, k in K.TYPE_RULES) + " END"
+    ctes.append(f"nk_0 AS (SELECT entity_id, original, m AS n, rtrim(m) AS m, {kind} AS kind FROM nm_{len(_NAME_STEPS)})")
+    for i, step in enumerate(_TAIL_STEPS):
+        ctes.append(f"nk_{i + 1} AS (SELECT entity_id, original, n, kind, {step} AS m FROM nk_{i})")
+    ctes.append(f"nm AS (SELECT entity_id, original, kind, CASE WHEN kind IS NOT DISTINCT FROM 'city' AND starts_with(n, 'city of ') THEN 'city of ' || trim(substr(n, 9)) ELSE m END AS name FROM nk_{len(_TAIL_STEPS)})")
+    return ",\n".join(ctes)
+
+
+def _jaro_winkler(a: str, b: str) -> str:
+    # DuckDB compares bytes; names are in lower case, so capitals can stand for letters of two bytes
+    a, b = (f"translate({x}, 'àáâäçèéêëíîïñóôöùúûüÿœæß', 'ABCDEFGHIJKLMNOPQRSTUVWX')" for x in (a, b))
+    starts = f"len(list_filter([1, 2, 3, 4], lambda i: i <= length({a}) AND i <= length({b}) AND left({a}, i) = left({b}, i)))"
+    return f"least(1.0, jaro_similarity({a}, {b}) + 0.1::DOUBLE * {starts} * (1 - jaro_similarity({a}, {b})))"
+
+
+def _factors(rows: str) -> str:
+    """CTEs that end in fx: the rows of a table (name_1, name_2, kind_1, kind_2 and others) with the factor of their score."""
+    starts = "CASE " + " ".join(f"WHEN starts_with(name_1, '{x}') AND starts_with(name_2, '{x}') THEN {len(x)}" for x in K.LOCATION_PREFIXES) + " END"
+    one_sided = " OR ".join(f"contains(name_1, '{x}') <> contains(name_2, '{x}')" for x in K.DEPARTMENT_KINDS)
+    both = lambda f: ", ".join(f(i) for i in "12")
+    return f"""
+f1 AS (SELECT *, {both(lambda i: f"trim(substr(name_{i}, 9)) AS city_{i}, list_filter(string_split_regex(name_{i}, '\\s+'), lambda x: x <> '') AS w_{i}, regexp_extract(name_{i}, '\\b([a-z]+)$', 1) AS last_{i}, trim(regexp_replace(name_{i}, '\\b[a-z]+$', '')) AS before_{i}, regexp_extract(name_{i}, '^([A-Za-z]{{2,5}})\\s', 1) AS lead_{i}, trim(regexp_replace(name_{i}, '^[A-Za-z]{{2,5}}\\s', '')) AS after_{i}")}, {starts} AS placed FROM {rows}),
+f2 AS (SELECT *, len(list_filter(generate_series(1, least(len(w_1), len(w_2))), lambda i: w_1[1:i] = w_2[1:i])) AS same, greatest(strlen(city_1), strlen(city_2)) AS longest, {both(lambda i: f"trim(substr(name_{i}, placed + 1)) AS rest_{i}")} FROM f1),
+f3 AS (SELECT *, 2.0::DOUBLE * same / (len(w_1) + len(w_2)) AS share, {both(lambda i: f"array_to_string(w_{i}[same + 1:], ' ') AS tail_{i}")} FROM f2),
+fx AS (SELECT *, (CASE
+  WHEN starts_with(name_1, 'city of ') AND starts_with(name_2, 'city of ') AND city_1 <> city_2 THEN CASE WHEN levenshtein(city_1, city_2) > 3 OR longest > 0 AND levenshtein(city_1, city_2) / longest > 0.3 THEN 0.6 ELSE 0.8 END
+  WHEN kind_1 <> kind_2 THEN 0.85
+  WHEN (contains(name_1, 'department') OR contains(name_2, 'department')) AND ({one_sided}) THEN 0.75
+  WHEN same > 0 AND same < len(w_1) AND same < len(w_2) AND share > 0.3 AND {_jaro_winkler("tail_1", "tail_2")} < 0.7 THEN 0.9 - share * 0.2::DOUBLE
+  WHEN placed IS NOT NULL AND rest_1 <> '' AND rest_2 <> '' AND {_jaro_winkler("rest_1", "rest_2")} < 0.8 THEN 0.8
+  WHEN last_1 <> '' AND last_2 <> '' AND last_1 <> last_2 AND before_1 = before_2 THEN 0.7
+  WHEN lead_1 <> '' AND lead_1 = lead_2 AND after_1 <> after_2 AND {_jaro_winkler("after_1", "after_2")} < 0.85 THEN 0.75
+  ELSE 1.0 END)::DOUBLE AS factor FROM f3)"""
+
+
+@query(f"WITH {_TITLES}, {_normal_names('SELECT page_id AS entity_id, name AS original FROM titles')} SELECT entity_id, original AS name, name AS normalized, kind FROM nm")
 def name_normalize(spark, sf):
     return titles(spark, sf).select("entity_id", "name", names.normalize_name(c("name")).alias("n")).select("entity_id", "name", c("n.name").alias("normalized"), c("n.kind").alias("kind"))
 
@@ -253,7 +334,24 @@ def token_candidate_pairs(spark, sf):
     return matchers.token_candidates(tokens, matchers.top_tokens(tokens, frequency))
 
 
-@query()
+# names without vectors: pairs by letters alone
+_NAME_MATCHES = f"""{_TITLES}, {_normal_names("SELECT page_id AS entity_id, name AS original FROM titles WHERE trim(name) <> ''")},
+nw AS (SELECT *, list_filter(string_split_regex(name, '\\s+'), lambda x: x <> '') AS w FROM nm WHERE name <> ''),
+tk AS (SELECT entity_id, unnest(list_distinct(list_concat(
+  list_filter(w, lambda x: NOT list_contains([{", ".join(f"'{x}'" for x in K.STOPWORDS)}], x) AND strlen(x) >= 2),
+  list_filter(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]), lambda x: strlen(x) >= 4),
+  CASE WHEN kind = 'city' AND starts_with(name, 'city of ') AND length(name) > 8 THEN [trim(substr(name, 9))] ELSE [] END))) AS token FROM nw),
+tf AS (SELECT token, count(*) AS f FROM tk GROUP BY token),
+tt AS (SELECT entity_id, token FROM tk JOIN tf USING (token), (SELECT count(*) AS total FROM nw) WHERE f <= greatest(floor(total * 0.05), 10) AND strlen(token) >= 2 QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY f, token) <= {matchers.TOP_TOKENS}),
+cand AS (SELECT a.entity_id AS entity_id_1, b.entity_id AS entity_id_2 FROM tk a JOIN tt b USING (token) WHERE a.entity_id < b.entity_id GROUP BY ALL HAVING count(*) >= {matchers.MIN_SHARED}),
+cs AS (SELECT entity_id_1, entity_id_2, x.original AS original_1, y.original AS original_2, x.name AS name_1, y.name AS name_2, x.kind AS kind_1, y.kind AS kind_2, ({_jaro_winkler("x.name", "y.name")})::FLOAT AS fuzzy
+  FROM cand JOIN nw x ON x.entity_id = entity_id_1 JOIN nw y ON y.entity_id = entity_id_2),
+cf AS (SELECT * FROM cs WHERE fuzzy >= {matchers.NAME_FUZZY}::FLOAT AND NOT coalesce({" OR ".join(f"kind_1 = '{a}' AND kind_2 = '{b}' OR kind_1 = '{b}' AND kind_2 = '{a}'" for a, b in K.INCOMPATIBLE_TYPES)}, false)),
+{_factors("cf")}"""
+
+
+@query(f"""WITH {_NAME_MATCHES}, sc AS (SELECT *, (fuzzy::DOUBLE * factor)::FLOAT AS s FROM fx)
+SELECT entity_id_1, entity_id_2, round(s::DOUBLE, 6) AS confidence_score, to_json({{'type': 'Name', 'values': {{'original_name1': original_1, 'original_name2': original_2, 'normalized_name1': name_1, 'normalized_name2': name_2, 'pre_rl_match_type': 'fuzzy'}}}})::VARCHAR AS match_values FROM sc WHERE s >= {matchers.NAME_KEEP}::FLOAT""")
 def name_match_pairs(spark, sf):
     return matchers.match_names(titles(spark, sf)).select("entity_id_1", "entity_id_2", r6("confidence_score").alias("confidence_score"), "match_values")
 
@@ -506,7 +604,12 @@ def weakest_edges(spark, sf):
     return graph.weakest_edges(name_edges(spark, sf)).withColumn("edge_weight", r6("edge_weight")).withColumn("rank", c("rank").cast("long"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_GRAPH}, rest AS (SELECT name_1, name_2 FROM gp QUALIFY row_number() OVER (ORDER BY conf, name_1, name_2) > 1),
+ways AS (SELECT name_1 AS x, name_2 AS y FROM rest UNION SELECT name_2, name_1 FROM rest),
+nodes AS (SELECT DISTINCT unnest([name_1, name_2]) AS e FROM gp),
+reach AS (SELECT e AS x, e AS y FROM nodes UNION SELECT reach.x, ways.y FROM reach JOIN ways ON reach.y = ways.x),
+part AS (SELECT x, min(y) AS r FROM reach GROUP BY x)
+SELECT 'c' AS cluster_id, count(DISTINCT r) > 1 AS can_split, count(DISTINCT r) AS parts FROM part HAVING count(*) > 0""")
 def split_simulation(spark, sf):
     edges = name_edges(spark, sf)
     return graph.simulate_split(edges, graph.weakest_edges(edges, 1))
@@ -651,7 +754,10 @@ def largest_batch_within(spark, sf):
     return batching.largest_within(batching.latency_by_batch(calls(spark, sf)), 30.0)
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+step AS (SELECT user_id, 0::BIGINT AS i, 16 AS size, 0 AS streak FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT user_id, o.i, CASE WHEN NOT ok THEN greatest(1, ceil(size * 0.75::DOUBLE)::INT) WHEN streak < 5 THEN least(64, ceil(size * 1.2::DOUBLE)::INT) ELSE size END, CASE WHEN ok THEN streak + 1 ELSE 0 END FROM step JOIN o USING (user_id) WHERE o.i = step.i + 1)
+SELECT user_id AS worker_id, arg_max(size, i) AS batch_size, arg_max(streak, i) AS streak FROM step GROUP BY user_id""")
 def batch_size_replay(spark, sf):
     return batching.replay_sizes(calls(spark, sf), 16, 1, 64)
 
@@ -742,7 +848,7 @@ def token_weights(spark, sf):
     return words.select("token", names.token_weight(c("token"), F.lit("city")).alias("weight"))
 
 
-@query()
+@query(f"WITH {_NAME_PAIRS}, pk AS (SELECT *, NULL::VARCHAR AS kind_1, NULL::VARCHAR AS kind_2 FROM np), {_factors('pk')} SELECT name_1, name_2, factor FROM fx")
 def name_domain_factors(spark, sf):
     none = F.lit(None).cast("string")
     return name_pairs(spark, sf).select("name_1", "name_2", names.domain_factor(c("name_1"), c("name_2"), none, none).alias("factor"))
@@ -791,7 +897,7 @@ def service_geo_similarity(spark, sf):
     return features.service_geo_similarity(pairs, p).withColumn("service_geo_similarity", r6("service_geo_similarity"))
 
 
-@query()
+@query("SELECT DISTINCT p_name, 1.0::DOUBLE AS length FROM part")  # every vector is of length one, whatever the encoder
 def encoded_names(spark, sf):
     from kindred.operators.encoder import embed
 
