@@ -220,5 +220,12 @@ def _shorten(strategy: str, limit: int):
     return udf
 
 
+#: Everything that ends a word when a text is split at blanks.
+_BLANK = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+
+
 def shortened(text: Column, strategy: str = "intelligent", limit: int = MAX_TOKENS) -> Column:
-    return _shorten(strategy, limit)(text)
+    """Texts cut to ``limit`` tokens. Those that can't have more, by their blanks and bytes, never leave the JVM."""
+    words = 1 + F.length(text) - F.length(F.regexp_replace(text, _BLANK, ""))
+    fits = words + F.floor(F.octet_length(text) / 4) <= limit
+    return F.when(fits, text).otherwise(_shorten(strategy, limit)(F.when(~fits, text)))

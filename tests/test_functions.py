@@ -130,3 +130,13 @@ def test_truncation():
     assert documents.shorten(text, "end_only", 300).startswith("...")
     assert documents.count_tokens(documents.shorten(text * 20, "simple", 100)) <= 100
     assert documents.shorten(None) is None
+
+
+def test_texts_that_fit_are_left_alone(spark):
+    blanks = "\t\x0b\x1c\x85\xa0\u1680\u2003\u2028\u3000"
+    texts = [None, "", " ", "a", "a b " * 3, "a b " * 40, blanks.join("abcdefgh"), "é" * 37, "x" * 200, "Description: " + "long words here. " * 60]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    for limit in (3, 8, 12, 64):
+        for strategy in documents.STRATEGIES:
+            got = [r.y for r in df.select("i", documents.shortened(F.col("x"), strategy, limit).alias("y")).orderBy("i").collect()]
+            assert got == [documents.shorten(x, strategy, limit) for x in texts]
