@@ -101,7 +101,7 @@ def _reaches(piece: pa.RecordBatch, window: int, k: int) -> pa.RecordBatch | Non
     if not ids:
         return None
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(np.concatenate(hashes)), *_halves(reach), pa.array(np.concatenate(first).astype("i4")), pa.array(np.concatenate(count).astype("i2"))],
+        [pa.array(ids, pa.int64()), pa.array(parts, pa.int64()), pa.array(np.concatenate(hashes)), *_halves(reach), pa.array(np.concatenate(first).astype("i4")), pa.array(np.concatenate(count).astype("i2"))],
         ["doc_id", "part", "anchor", "r1", "r2", "first", "n"],
     )
 
@@ -118,7 +118,7 @@ def _windows(piece: pa.RecordBatch, window: int) -> pa.RecordBatch:
             key += [digest(joined[at[i] : at[i + window] - 1]) for i in places]
             ids += [doc_id] * r["n"]
             parts += [part] * r["n"]
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(first, pa.int32()), *_halves(key)], ["doc_id", "part", "first", "w1", "w2"])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int64()), pa.array(first, pa.int32()), *_halves(key)], ["doc_id", "part", "first", "w1", "w2"])
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS) -> DataFrame:
@@ -127,7 +127,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS)
     ``docs`` has columns doc_id (not null), part (tells rows of one id apart)
     and text.
     """
-    seen = materialize(map_slices(docs, "text", lambda p: _reaches(p, window, k), "doc_id long, part int, anchor long, r1 long, r2 long, first int, n short"), "anchors")
+    seen = materialize(map_slices(docs, "text", lambda p: _reaches(p, window, k), "doc_id long, part long, anchor long, r1 long, r2 long, first int, n short"), "anchors")
     # seeds: anchors of two documents at least; with several reaches they are extended
     seeds = seen.groupBy("anchor").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("r1").alias("r0"), F.max("r1").alias("r9")).where("d0 < d1").select("anchor", F.expr("r0 < r9").alias("several"))
     joined = materialize(spread_join(seen, seeds, ["anchor"]), "seeds")
@@ -136,7 +136,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS)
     found = materialize(spread_join(joined, classes, ["r1", "r2"]).where("doc_id > least or several").select("doc_id", "part", "first", F.col("n").cast("int").alias("n"), F.expr("doc_id > least").alias("late")), "classes")
     discard(joined)
     heads = found.where("not late").groupBy("doc_id", "part").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
-    opened = materialize(map_slices(docs.join(heads, ["doc_id", "part"]), "text", lambda p: _windows(p, window), "doc_id long, part int, first int, w1 long, w2 long"), "windows")
+    opened = materialize(map_slices(docs.join(heads, ["doc_id", "part"]), "text", lambda p: _windows(p, window), "doc_id long, part long, first int, w1 long, w2 long"), "windows")
     least = opened.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w1", "w2", "least")
     extended = spread_join(opened, least, ["w1", "w2"]).where("doc_id > least").select("doc_id", "part", "first", F.lit(1).alias("n"))
     return found.where("late").select("doc_id", "part", "first", "n").union(extended)
@@ -163,7 +163,7 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS,
     their own that are not earlier than each other. Other columns are not read.
     No rows: no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]).withColumn("part", F.hash("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]).withColumn("part", F.xxhash64("text"))
     runs = repeated_runs(rows.select("doc_id", "part", "text").where("doc_id is not null"), window, k).groupBy("doc_id", "part").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *([] if digest_only else ["text"]), *(f"keep_{i}" for i in range(len(keep)))]
 
