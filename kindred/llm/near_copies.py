@@ -1,4 +1,11 @@
-"""Near-duplicate groups by the exact similarity of word shingles: prefix filtering.
+"""Near-duplicate groups by the exact similarity of word shingles: SimHash, then prefix filtering.
+
+SimHash comes first, by the index and the tally of :mod:`kindred.llm.simhash`
+at the widest distance at which two positional bytes must still be shared. A
+forest of the fingerprints' links is verified on the sets of shingles, and
+what it links is settled. Similar texts may be further apart than any such
+index promises; the rest are found by an inverted index of shingles, without a
+loss.
 
 Two sets of shingles with a Jaccard similarity of ``t`` at least share ``t`` of
 the larger set. So, in any one order of all shingles, the first
@@ -7,10 +14,10 @@ an inverted index of the prefixes alone holds every such pair. Shingles common
 in a sample come last in the order, which keeps postings short; the order never
 changes the result.
 
-Documents of equal sets are one class. Every class of a posting is first
-compared with the posting's smallest; what that links is settled, and only
-classes of a posting that are still in different groups are compared pair by
-pair. A bitmap of each set (a bit is set if an odd number of shingles falls on
+Documents of equal sets are one class. In each of some rounds, every class of a
+posting is compared with one of them, another in each round, if both are still
+in different groups; what that links is settled. Only classes of a posting that
+are in different groups after the rounds are compared pair by pair. A bitmap of each set (a bit is set if an odd number of shingles falls on
 it) bounds from below in how many shingles two sets differ, which rules most
 candidates out without a loss; the others are verified on the whole sets.
 """
@@ -23,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.simhash import fingerprint, fingerprint_links
 from kindred.llm.substring_dedup import _BASE, _mix, _word_hashes
 from kindred.llm.texts import LOWER_ASCII, map_slices, texts_of, words_of
 from kindred.operators.components import components
@@ -33,6 +41,10 @@ SHINGLE_WORDS = 5
 SHARE, OF = 4, 5
 #: One text in so many is looked at for common shingles; at most so many of these, in so many sampled texts at least, come last.
 SAMPLE_ONE_IN, COMMON_SHINGLES, COMMON_TEXTS = 16, 100_000, 3
+#: Differing bits of fingerprints that link: the most at which two of the eight positional bytes must be equal.
+PRINT_BITS = 6
+#: Rounds in which a posting's classes are compared with one of them, before those in different groups are compared pair by pair.
+HEAD_ROUNDS = 4
 #: Bitmaps are so many longs.
 MAP_LONGS = 8
 
@@ -146,6 +158,56 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return out
 
 
+def _print_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that may be similar: a forest of the links of their fingerprints, and the classes of a fingerprint with its smallest."""
+    prints = materialize(classes.groupBy("fp").agg(F.min("key").alias("first")), "prints")
+    links = fingerprint_links(prints, PRINT_BITS)
+    for side in "ab":
+        links = spread_join(links, prints.select(F.col("fp").alias(side), F.col("first").alias(f"first_{side}")), [side])
+    alike = spread_join(classes.select("fp", "key"), prints, ["fp"]).where("key <> first")
+    pairs = links.select("first_a", "first_b").union(alike.select("first", "key")).toDF("x", "y")
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    for side in "ab":
+        pairs = spread_join(pairs, classes.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("map").alias(f"map_{side}")), [side])
+    return _possible(pairs)
+
+
+def _grouped(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Groups (node, root) of what ``roots`` and ``links`` connect, as a table; both are used up."""
+    out = materialize(components(links if roots is None else roots.toDF("a", "b").union(links)), "roots")
+    for used in (roots, links):
+        if used is not None:
+            discard(used)
+    return out
+
+
+def _still_open(postings: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """The postings whose classes aren't all in one group, with each class's root and whether it is the posting's head in this turn, as a table."""
+    placed = spread_join(postings.select("shingle", "key", "n", "map"), roots.withColumnRenamed("node", "key"), ["key"], "left")
+    placed = placed.select("shingle", "key", "n", "map", F.coalesce("root", "key").alias("root"), F.xxhash64("key", F.lit(turn)).alias("place"))
+    several = placed.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r9"), F.min("place").alias("first")).where("r0 < r9").select("shingle", "first")
+    out = materialize(spread_join(placed, several, ["shingle"]).select("shingle", "key", "n", "map", "root", F.expr("place = first").alias("head")), "open")
+    discard(postings)
+    return out
+
+
+def _sides(x: DataFrame, y: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return tuple(t.select("shingle", *[F.col(c).alias(f"{to}_{side}" if to else side) for c, to in (("key", ""), ("n", "n"), ("map", "map"), ("root", "root"))]) for t, side in ((x, "a"), (y, "b")))
+
+
+def _head_pairs(left: DataFrame) -> DataFrame:
+    """Pairs (a, b) that may be similar, of a posting's head and a class in another group."""
+    heads, others = _sides(left.where("head"), left.where("not head"))
+    pairs = _possible(spread_join(others, heads, ["shingle"]).where("root_a <> root_b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _all_pairs(left: DataFrame) -> DataFrame:
+    """Pairs (a, b) that may be similar, of classes of a posting in different groups."""
+    x, y = _sides(left, left)
+    return _possible(x.join(y, "shingle").where("a < b and root_a <> root_b"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row a document: doc_id, group; with ``row_col``, a long that tells rows apart, also row and text_hash.
 
@@ -164,42 +226,38 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(piece):
         found = [shingles(t) for t in texts_of(piece, "text")]
+        fps = np.array([fingerprint(t) for t in texts_of(piece, "text")], dtype="u8").view("i8")
         key = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in found], dtype="u8").view("i8")
         first = [prefix(x, common, counts).view("i8") for x in found]
         ends = np.cumsum([0, *map(len, first)])
         text_hash = np.array([xxhash.xxh3_64_intdigest(t or b"") for t in texts_of(piece, "text")], dtype="u8").view("i8")
-        cols = [piece.column("doc_id"), piece.column("row"), pa.array(text_hash), pa.array(key), pa.array([len(x) for x in found], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first)))]
+        cols = [piece.column("doc_id"), piece.column("row"), pa.array(text_hash), pa.array(key), pa.array(fps), pa.array([len(x) for x in found], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first)))]
         maps = np.frombuffer(b"".join(map(bitmap, found)), "<i8")
         cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * MAP_LONGS, pa.int32()), pa.array(maps)))
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "text_hash", "key", "n", "prefix", "map"])
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "text_hash", "key", "fp", "n", "prefix", "map"])
 
-    made = materialize(map_slices(docs, "text", run, "doc_id long, row long, text_hash long, key long, n int, prefix array<long>, map array<long>"), "shingles")
-    classes = materialize(made.groupBy("key").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "map", "prefix")]), "classes")
+    made = materialize(map_slices(docs, "text", run, "doc_id long, row long, text_hash long, key long, fp long, n int, prefix array<long>, map array<long>"), "shingles")
+    classes = materialize(made.groupBy("key").agg(F.min("row").alias("row"), F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in ("n", "map", "prefix")]), "classes")
     rows = materialize(made.select("doc_id", "row", "text_hash", "key"), "members")
     discard(made)
+    tried = materialize(_print_pairs(classes), "tried")
+    roots = _grouped(None, _verified(tried, classes, docs))
     posted = classes.select(F.explode("prefix").alias("shingle"), "key")
-    held = posted.groupBy("shingle").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("shingle", "least")
+    held = posted.groupBy("shingle").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("shingle")
     met = materialize(spread_join(posted, held, ["shingle"]), "met")
-    shared = materialize(spread_join(met, classes.select("key", "n", "map"), ["key"]), "postings")
+    left = materialize(spread_join(met, classes.select("key", "n", "map"), ["key"]), "postings")
     discard(met)
-    heads = shared.where("key = least").select("shingle", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("map").alias("map_a"))
-    tried = spread_join(shared.where("key > least").select("shingle", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("map").alias("map_b")), heads, ["shingle"])
-    tried = materialize(_possible(tried), "tried")
-    links = _verified(tried, classes, docs)
-    roots = materialize(components(links), "roots")
-    # postings whose classes aren't all in one group yet
-    placed = spread_join(shared, roots.withColumnRenamed("node", "key"), ["key"], "left").select("shingle", "key", "n", "map", F.coalesce("root", "key").alias("root"))
-    several = placed.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r9")).where("r0 < r9").select("shingle")
-    left = materialize(spread_join(placed, several, ["shingle"]).select("shingle", "key", "n", "map", "root"), "open")
-    discard(shared)
-    x, y = left.toDF("shingle", "a", "n_a", "map_a", "root_a"), left.toDF("shingle", "b", "n_b", "map_b", "root_b")
-    pairs = _possible(x.join(y, "shingle").where("a < b and root_a <> root_b"))
-    pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = _verified(pairs, classes, docs)
-    last = materialize(components(links.union(more)), "roots")
+    for turn in range(HEAD_ROUNDS + 1):
+        left = _still_open(left, roots, turn)
+        pairs = _head_pairs(left) if turn < HEAD_ROUNDS else _all_pairs(left)
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        roots = _grouped(roots, _verified(pairs, classes, docs))
+        done, tried = tried, materialize(tried.union(pairs), "tried")
+        discard(done)
+        discard(pairs)
     named = ["doc_id", "row", "text_hash"] if row_col else ["doc_id"]
-    out = spread_join(rows.select(*named, "key"), last.withColumnRenamed("node", "key"), ["key"], "left").select(*named, F.coalesce("root", "key").alias("group"))
+    out = spread_join(rows.select(*named, "key"), roots.withColumnRenamed("node", "key"), ["key"], "left").select(*named, F.coalesce("root", "key").alias("group"))
     out = materialize(out, "groups")
-    for used in (rows, classes, tried, links, roots, left, pairs, more, last, *([] if row_col else [docs])):
+    for used in (rows, classes, tried, roots, left, *([] if row_col else [docs])):
         discard(used)
     return out

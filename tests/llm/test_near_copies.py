@@ -85,3 +85,18 @@ def test_stage_keeps_one_row_of_a_group(spark, sf):
     out = corpus_pipeline.drop_near_duplicates(spark, df, sf)
     assert out.columns == df.columns
     assert sorted((r.doc_id or -1, r.text) for r in out.collect()) == sorted([(3, texts[0]), (5, texts[1]), (-1, texts[2]), (1, texts[3]), (7, "other words")])
+
+
+def test_fingerprints_find_near_copies_without_the_index(spark, sf, monkeypatch):
+    """SimHash settles what its distance reaches, and the sets of shingles decide on what it finds."""
+    rows = [(i, t) for i, t in edited_texts(7) if t]
+    sets, fps = {i: shingle_set(t) for i, t in rows}, {i: H.simhash(t) for i, t in rows}
+    monkeypatch.setattr(near_copies, "prefix", lambda found, common, counts: found[:0])  # an index without postings
+    got = {r.doc_id: r.group for r in near_copies.near_copies(H.docs(spark, rows)).collect()}
+    exact = H.groups(list(sets), lambda a, b: similar(sets[a], sets[b]))
+    near = [(a, b) for a in got for b in got if a < b and (fps[a] ^ fps[b]).bit_count() <= near_copies.PRINT_BITS and similar(sets[a], sets[b])]
+    found = {(a, b) for a, b in near if got[a] == got[b]}
+    assert sum(fps[a] != fps[b] for a, b in found) > 10 and len(found) > 0.9 * len(near)
+    assert all(exact[a] == exact[b] for a in got for b in got if got[a] == got[b])
+    stay = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, H.docs(spark, rows), sf).collect()}
+    assert len(stay) == len(set(got.values())) < len({t.lower() for _, t in rows})
