@@ -15,9 +15,11 @@ in a sample come last in the order, which keeps postings short; the order never
 changes the result.
 
 Documents of equal sets are one class. In each of some rounds, every class of a
-posting is compared with one of them, another in each round, if both are still
-in different groups; what that links is settled. Only classes of a posting that
-are in different groups after the rounds are compared pair by pair. A bitmap of each set (a bit is set if an odd number of shingles falls on
+posting that is outside the posting's largest group is compared with all that
+are in other groups, and the few closest are verified; what that links is
+settled. The last round verifies all that are still in different groups. So a
+group of copies makes as many pairs as it has classes, not as it has pairs.
+A bitmap of each set (a bit is set if an odd number of shingles falls on
 it) bounds from below in how many shingles two sets differ, which rules most
 candidates out without a loss; the others are verified on the whole sets.
 """
@@ -43,8 +45,10 @@ SHARE, OF = 4, 5
 SAMPLE_ONE_IN, COMMON_SHINGLES, COMMON_TEXTS = 16, 100_000, 3
 #: Differing bits of fingerprints that link: the most at which two of the eight positional bytes must be equal.
 PRINT_BITS = 6
-#: Rounds in which a posting's classes are compared with one of them, before those in different groups are compared pair by pair.
-HEAD_ROUNDS = 4
+#: So many of the closest classes in other groups are verified for a class of a posting, round by round; None is all.
+CLOSEST = (1, 4, None)
+#: About so many classes outside the largest group are compared with a posting in one task; pairs of classes in memory at once.
+STRIP, PAIRS_AT_ONCE = 2048, 1 << 18
 #: Bitmaps are so many longs.
 MAP_LONGS = 8
 
@@ -159,7 +163,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 
 
 def _print_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that may be similar: a forest of the links of their fingerprints, and the classes of a fingerprint with its smallest."""
+    """Pairs (a, b) of classes that may be similar, as a table: a forest of the links of their fingerprints, and the classes of a fingerprint with its smallest."""
     prints = materialize(classes.groupBy("fp").agg(F.min("key").alias("first")), "prints")
     links = fingerprint_links(prints, PRINT_BITS)
     for side in "ab":
@@ -169,7 +173,9 @@ def _print_pairs(classes: DataFrame) -> DataFrame:
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     for side in "ab":
         pairs = spread_join(pairs, classes.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("map").alias(f"map_{side}")), [side])
-    return _possible(pairs)
+    out = materialize(_possible(pairs), "tried")
+    discard(prints)
+    return out
 
 
 def _grouped(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -181,31 +187,95 @@ def _grouped(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return out
 
 
-def _still_open(postings: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-    """The postings whose classes aren't all in one group, with each class's root and whether it is the posting's head in this turn, as a table."""
+def _still_open(postings: DataFrame, roots: DataFrame) -> DataFrame:
+    """The postings whose classes aren't all in one group, with each class's root and the number of classes outside the largest group, as a table."""
     placed = spread_join(postings.select("shingle", "key", "n", "map"), roots.withColumnRenamed("node", "key"), ["key"], "left")
-    placed = placed.select("shingle", "key", "n", "map", F.coalesce("root", "key").alias("root"), F.xxhash64("key", F.lit(turn)).alias("place"))
-    several = placed.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r9"), F.min("place").alias("first")).where("r0 < r9").select("shingle", "first")
-    out = materialize(spread_join(placed, several, ["shingle"]).select("shingle", "key", "n", "map", "root", F.expr("place = first").alias("head")), "open")
+    placed = placed.select("shingle", "key", "n", "map", F.coalesce("root", "key").alias("root"))
+    sizes = placed.groupBy("shingle", "root").count().groupBy("shingle").agg((F.sum("count") - F.max("count")).alias("outside"))
+    out = materialize(spread_join(placed, sizes.where("outside > 0"), ["shingle"]).select("shingle", "outside", "key", "n", "map", "root"), "open")
     discard(postings)
     return out
 
 
-def _sides(x: DataFrame, y: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return tuple(t.select("shingle", *[F.col(c).alias(f"{to}_{side}" if to else side) for c, to in (("key", ""), ("n", "n"), ("map", "map"), ("root", "root"))]) for t, side in ((x, "a"), (y, "b")))
-
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin, and the number of rows."""
+    new = np.zeros(len(columns[0]) - 1, dtype=bool)
+    for c in columns:
+        new |= c[1:] != c[:-1]
+    return np.r_[0, np.flatnonzero(new) + 1, len(columns[0])]
+
+
+def _closest(table: pa.Table, most: int | None) -> pa.RecordBatch:
+    """Pairs (a, b) that may be similar, of whole postings sorted by (shingle, strip, root): for each class its ``most`` closest in other groups."""
+    shingle, strip, root, key, n, own = (table.column(c).to_numpy() for c in ("shingle", "strip", "root", "key", "n", "own"))
+    maps = pa.concat_arrays(table.column("map").chunks).flatten().to_numpy().view("u8").reshape(-1, MAP_LONGS)
+    posting = _starts(shingle, strip)
+    runs = _starts(shingle, strip, root)
+    length, first_run = np.diff(runs), np.searchsorted(runs, posting[:-1])
+    longest = np.maximum.reduceat(length, first_run)
+    # the first of a posting's largest groups; its classes are compared with, but don't ask
+    of = np.searchsorted(posting, runs[:-1], side="right") - 1
+    largest = np.zeros(len(length), dtype=bool)
+    full = np.flatnonzero(length == longest[of])
+    largest[full[np.unique(of[full], return_index=True)[1]]] = True
+    settled = np.repeat(largest, length)
+    begin, size = (np.repeat(x, np.diff(posting)) for x in (posting[:-1], np.diff(posting)))
+    asks = np.flatnonzero(own & ~settled)
+    ends = np.cumsum(size[asks])
+    found = []
+    at = 0
+    while at < len(asks):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+        part = asks[at:upto]
+        at = upto
+        x = np.repeat(part, size[part])
+        y = np.arange(len(x)) - np.repeat(np.cumsum(size[part]) - size[part], size[part]) + np.repeat(begin[part], size[part])
+        # similar sets differ in at most (n_a + n_b) (1 - t) / (1 + t) shingles
+        fits = (root[x] != root[y]) & (OF * np.minimum(n[x], n[y]) >= SHARE * np.maximum(n[x], n[y]))
+        x, y = x[fits], y[fits]
+        apart = np.bitwise_count(maps[x] ^ maps[y]).sum(axis=1, dtype=np.int64)
+        both = n[x].astype(np.int64) + n[y]
+        may = apart * (OF + SHARE) <= both * (OF - SHARE)
+        x, y, far = x[may], y[may], apart[may] / both[may]
+        if most and len(x):
+            order = np.lexsort((key[y], far, x))
+            x, y = x[order], y[order]
+            run = _starts(x)
+            near = np.arange(len(x)) - np.repeat(run[:-1], np.diff(run)) < most
+            x, y = x[near], y[near]
+        found.append(np.stack([np.minimum(key[x], key[y]), np.maximum(key[x], key[y])], axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype="i8")
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _index_pairs(left: DataFrame, most: int | None) -> DataFrame:
+    """Pairs (a, b) of classes of a posting in different groups that may be similar: all, or each asking class's ``most`` closest.
+
+    A posting in which many classes ask goes to several tasks, each with a strip of these.
+    """
+    strips = F.ceil(F.col("outside") / STRIP).cast("int")
+    dealt = left.withColumn("strip", F.explode(F.sequence(F.lit(0), strips - 1))).withColumn("own", F.pmod(F.xxhash64("key"), strips) == F.col("strip"))
+    dealt = dealt.select("shingle", "strip", "root", "key", "n", "map", "own").repartition("shingle", "strip").sortWithinPartitions("shingle", "strip", "root", "key")
 
-def _head_pairs(left: DataFrame) -> DataFrame:
-    """Pairs (a, b) that may be similar, of a posting's head and a class in another group."""
-    heads, others = _sides(left.where("head"), left.where("not head"))
-    pairs = _possible(spread_join(others, heads, ["shingle"]).where("root_a <> root_b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def place(batch, i):
+        return batch.column("shingle")[i].as_py(), batch.column("strip")[i].as_py()
 
+    def run(batches):
+        held = []  # batches from the start of a posting on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if place(held[0], 0) == place(batch, batch.num_rows - 1):
+                continue
+            table = pa.Table.from_batches(held)
+            cut = int(_starts(table.column("shingle").to_numpy(), table.column("strip").to_numpy())[-2])
+            yield _closest(table.slice(0, cut), most)
+            held = table.slice(cut).to_batches()
+        if held:
+            yield _closest(pa.Table.from_batches(held), most)
 
-def _all_pairs(left: DataFrame) -> DataFrame:
-    """Pairs (a, b) that may be similar, of classes of a posting in different groups."""
-    x, y = _sides(left, left)
-    return _possible(x.join(y, "shingle").where("a < b and root_a <> root_b"))
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -240,17 +310,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = materialize(made.groupBy("key").agg(F.min("row").alias("row"), F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in ("n", "map", "prefix")]), "classes")
     rows = materialize(made.select("doc_id", "row", "text_hash", "key"), "members")
     discard(made)
-    tried = materialize(_print_pairs(classes), "tried")
+    tried = _print_pairs(classes)
     roots = _grouped(None, _verified(tried, classes, docs))
     posted = classes.select(F.explode("prefix").alias("shingle"), "key")
     held = posted.groupBy("shingle").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("shingle")
     met = materialize(spread_join(posted, held, ["shingle"]), "met")
     left = materialize(spread_join(met, classes.select("key", "n", "map"), ["key"]), "postings")
     discard(met)
-    for turn in range(HEAD_ROUNDS + 1):
-        left = _still_open(left, roots, turn)
-        pairs = _head_pairs(left) if turn < HEAD_ROUNDS else _all_pairs(left)
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    for most in CLOSEST:
+        left = _still_open(left, roots)
+        if left.isEmpty():
+            break
+        pairs = materialize(_index_pairs(left, most).join(tried, ["a", "b"], "left_anti"), "pairs")
         roots = _grouped(roots, _verified(pairs, classes, docs))
         done, tried = tried, materialize(tried.union(pairs), "tried")
         discard(done)

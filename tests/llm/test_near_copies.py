@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -94,9 +95,50 @@ def test_fingerprints_find_near_copies_without_the_index(spark, sf, monkeypatch)
     monkeypatch.setattr(near_copies, "prefix", lambda found, common, counts: found[:0])  # an index without postings
     got = {r.doc_id: r.group for r in near_copies.near_copies(H.docs(spark, rows)).collect()}
     exact = H.groups(list(sets), lambda a, b: similar(sets[a], sets[b]))
+    assert len(set(exact.values())) < len(set(got.values()))  # what is further apart needs the index
     near = [(a, b) for a in got for b in got if a < b and (fps[a] ^ fps[b]).bit_count() <= near_copies.PRINT_BITS and similar(sets[a], sets[b])]
     found = {(a, b) for a, b in near if got[a] == got[b]}
     assert sum(fps[a] != fps[b] for a, b in found) > 10 and len(found) > 0.9 * len(near)
     assert all(exact[a] == exact[b] for a in got for b in got if got[a] == got[b])
     stay = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, H.docs(spark, rows), sf).collect()}
     assert len(stay) == len(set(got.values())) < len({t.lower() for _, t in rows})
+
+
+def test_pairs_grow_with_a_group_and_not_with_its_square(spark, monkeypatch):
+    """Copies with few edits, many of them similar to some others only, in one posting after the other."""
+    asked, verified = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *more: (asked.append(pairs.count()), verified(pairs, *more))[1])
+    rng, size = random.Random(3), 600
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(size):
+        text = base[:]
+        for _ in range(1 + i % 3):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    sets = {i: shingle_set(t) for i, t in rows}
+    want = members(H.groups(list(sets), lambda a, b: similar(sets[a], sets[b])).items())
+    assert members((r.doc_id, r.group) for r in near_copies.near_copies(H.docs(spark, rows)).collect()) == want
+    assert sum(asked) < 4 * size, asked
+
+
+def test_closest_equal_brute_force(monkeypatch):
+    """Postings of every size, in pieces and strips, against all pairs."""
+    rng = np.random.default_rng(4)
+    base, rows = np.unique(rng.integers(0, 1 << 63, 90, dtype="u8")), []
+    for shingle, size in enumerate((2, 3, 40, 7, 2)):
+        for _ in range(size):
+            found = np.unique(np.r_[base[rng.random(len(base)) < 0.93], rng.integers(0, 1 << 63, int(rng.integers(0, 12)), dtype="u8")])
+            rows.append((shingle, 0, int(rng.integers(0, 4)), int(rng.integers(-(1 << 62), 1 << 62)), len(found), np.frombuffer(near_copies.bitmap(found), "i8").tolist(), True))
+    names = ["shingle", "strip", "root", "key", "n", "map", "own"]
+    spread = [(*r[:1], k, *r[2:6], r[3] % 3 == k) for r in rows for k in range(3)]
+    may = lambda a, b: a[0] == b[0] and a[2] != b[2] and 5 * min(a[4], b[4]) >= 4 * max(a[4], b[4]) and 9 * sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a[5], b[5])) <= a[4] + b[4]
+    want = {(min(a[3], b[3]), max(a[3], b[3])) for a in rows for b in rows if may(a, b)}
+    assert 20 < len(want)
+    for at_once in (1 << 18, 50, 1):
+        monkeypatch.setattr(near_copies, "PAIRS_AT_ONCE", at_once)
+        for table in (rows, spread):
+            table = pa.table([pa.array(c) for c in zip(*sorted(table, key=lambda r: r[:4]))], names)
+            got = {most: set(zip(*(c.to_pylist() for c in near_copies._closest(table, most).columns))) for most in (1, None)}
+            assert got[None] == want
+            assert got[1] <= want and 0 < len(got[1]) <= len(rows)
