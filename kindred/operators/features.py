@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kindred.functions import contact, geo, urls
 from kindred.functions.similarity import trigram_similarity
 from kindred.functions.vectors import cosine, cosine_distance
+from kindred.operators.products import compare_entities, largest_cosine
 from kindred.sources.io import stable_id
 
 ENTITY_FEATURES = (
@@ -120,9 +121,17 @@ def cached_or_computed(stored: DataFrame, compute, entities: DataFrame) -> DataF
     return have.unionByName(compute(missing).select("entity_id", *ENTITY_FEATURES))
 
 
+def _known(vector: str, rows: DataFrame) -> Column:
+    """The vector, or zeros in its place if a number is missing: its cosine is 0 then."""
+    zero = F.lit(0).cast(rows.schema[vector].dataType.elementType)
+    return F.when(F.exists(vector, lambda x: x.isNull()), F.transform(vector, lambda x: zero)).otherwise(F.col(vector))
+
+
 def max_cross_similarity(pairs: DataFrame, service_vectors: DataFrame) -> DataFrame:
     """Largest cosine between the services of both entities; 0 where a side has none."""
-    best = _service_pairs(pairs, service_vectors.where("embedding is not null"), ["embedding"]).groupBy("entity_id_1", "entity_id_2").agg(F.max(cosine(F.col("embedding_1"), F.col("embedding_2"))).alias("max_service_similarity"))
+    rows = service_vectors.where("embedding is not null").select("entity_id", _known("embedding", service_vectors).alias("x")).distinct()
+    found = compare_entities(pairs, rows, largest_cosine, "best double")
+    best = found.groupBy("entity_id_1", "entity_id_2").agg(F.max("best").alias("max_service_similarity"))
     return pairs.select("entity_id_1", "entity_id_2").join(best, ["entity_id_1", "entity_id_2"], "left").fillna(0.0, ["max_service_similarity"])
 
 
