@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kindred.functions import contact, geo, urls
 from kindred.functions.similarity import trigram_similarity
 from kindred.functions.vectors import cosine, cosine_distance
-from kindred.operators.products import compare_entities, largest_cosine
+from kindred.operators.products import compare_entities, largest_cosine, near_sums, nearest
 from kindred.sources.io import stable_id
 
 ENTITY_FEATURES = (
@@ -140,21 +140,28 @@ def _service_pairs(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> Dat
     return pairs.select("entity_id_1", "entity_id_2").join(side(1), "entity_id_1").join(side(2), "entity_id_2")
 
 
-def nearest_proximity(pairs: DataFrame, locations: DataFrame) -> DataFrame:
+def nearest_proximity(pairs: DataFrame, locations: DataFrame, limit: float = geo.PROXIMITY_METRES) -> DataFrame:
     """Proximity by the smallest distance between both entities' locations; 0 where a side has none."""
-    d = geo.haversine(F.col("lat_1"), F.col("lon_1"), F.col("lat_2"), F.col("lon_2"))
-    near = _service_pairs(pairs, locations, ["lat", "lon"]).groupBy("entity_id_1", "entity_id_2").agg(F.min(d).alias("_d"))
-    return pairs.select("entity_id_1", "entity_id_2").join(near, ["entity_id_1", "entity_id_2"], "left").select("entity_id_1", "entity_id_2", F.coalesce(geo.proximity(F.col("_d")), F.lit(0.0)).alias("geographic_proximity"))
+    places = locations.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)").select("entity_id", F.array(F.col("lat").cast("double"), F.col("lon").cast("double")).alias("x")).distinct()
+    near = compare_entities(pairs, places, nearest(limit), "d double").groupBy("entity_id_1", "entity_id_2").agg(F.min("d").alias("_d"))
+    return pairs.select("entity_id_1", "entity_id_2").join(near, ["entity_id_1", "entity_id_2"], "left").select("entity_id_1", "entity_id_2", F.coalesce(geo.proximity(F.col("_d"), limit), F.lit(0.0)).alias("geographic_proximity"))
 
 
-def service_geo_similarity(pairs: DataFrame, places: DataFrame) -> DataFrame:
+def service_geo_similarity(pairs: DataFrame, places: DataFrame, limit: float = geo.PROXIMITY_METRES) -> DataFrame:
     """Mean of similarity times proximity over all service locations of both entities, within 0 and 1.
 
-    ``places``: entity_id, embedding, lat, lon.
+    ``places``: entity_id, embedding, lat, lon. Unit vectors at one place are
+    added up first: the sum of cosines of two places is one dot product.
     """
-    both = _service_pairs(pairs, places.where("embedding is not null and lat is not null and lon is not null"), ["embedding", "lat", "lon"])
-    value = cosine(F.col("embedding_1"), F.col("embedding_2")) * geo.proximity(geo.haversine(F.col("lat_1"), F.col("lon_1"), F.col("lat_2"), F.col("lon_2")))
-    mean = both.groupBy("entity_id_1", "entity_id_2").agg(F.avg(value).alias("_m"))
+    from kindred.functions.vectors import unit
+
+    rows = places.where("embedding is not null and lat is not null and lon is not null")
+    site = ["entity_id", "_w", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")]
+    at = rows.withColumn("_u", unit(_known("embedding", places))).withColumn("_w", F.size("_u")).select(*site, F.posexplode("_u").alias("_i", "_x"))
+    sums = at.groupBy("entity_id", "_w", "lat", "lon", "_i").agg(F.sum("_x").alias("_s"), F.count("*").cast("double").alias("_n"))
+    whole = sums.groupBy("entity_id", "_w", "lat", "lon").agg(F.max("_n").alias("_n"), F.transform(F.array_sort(F.collect_list(F.struct("_i", "_s"))), lambda s: s["_s"]).alias("_v"))
+    both = compare_entities(pairs, whole.select("entity_id", F.concat(F.array("lat", "lon", "_n"), "_v").alias("x")), near_sums(limit), "total double, n double")
+    mean = both.groupBy("entity_id_1", "entity_id_2").agg((F.sum("total") / F.sum("n")).alias("_m"))
     return pairs.select("entity_id_1", "entity_id_2").join(mean, ["entity_id_1", "entity_id_2"], "left").select("entity_id_1", "entity_id_2", F.greatest(F.least(F.coalesce("_m", F.lit(0.0)), F.lit(1.0)), F.lit(0.0)).alias("service_geo_similarity"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.functions.constants import EARTH_METRES
 from kindred.sources.storage import spread_join
 
 #: Numbers of one side of a product, and its rows that are compared at once.
@@ -26,7 +28,7 @@ def compare_entities(pairs: DataFrame, rows: DataFrame, measure: Callable[[np.nd
     """
     kind = rows.schema["entity_id"].dataType.simpleString()
     sized = rows.select("entity_id", "x", F.size("x").alias("width")).where("width > 0")
-    cuts = sized.groupBy("entity_id", "width").agg(F.ceil(F.count("*") * F.col("width") / NUMBERS).cast("int").alias("cuts"))
+    cuts = sized.groupBy("entity_id", "width").agg(F.ceil(F.count("*") * F.greatest("width", F.lit(64)) / NUMBERS).cast("int").alias("cuts"))
     dealt = spread_join(sized, cuts, ["entity_id", "width"]).withColumn("part", F.pmod(F.xxhash64("x"), "cuts").cast("int"))
     whole = dealt.groupBy("entity_id", "width", "part").agg(F.flatten(F.collect_list("x")).alias("x"))
     side = lambda i: cuts.select(F.col("entity_id").alias(f"entity_id_{i}"), "width", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias(f"part_{i}"))
@@ -50,3 +52,34 @@ def largest_cosine(x: np.ndarray, y: np.ndarray) -> tuple[float]:
     """Largest cosine of a row of ``x`` with one of ``y``; zero vectors have cosine 0 with everything."""
     x, y = ((m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1.0, n)) for m in (x, y))
     return (float(np.max([np.max(x[i : i + STRIP] @ y[j : j + STRIP].T) for i in range(0, len(x), STRIP) for j in range(0, len(y), STRIP)])),)
+
+
+def _near_strips(x: np.ndarray, y: np.ndarray, metres: float):
+    """Rows of both, in strips, with the distances of their places (first two columns, degrees); strips too far apart by latitude are left out."""
+    x, y = x[np.argsort(x[:, 0])], y[np.argsort(y[:, 0])]
+    gap = math.degrees(metres / EARTH_METRES) * 1.0001
+    for i in range(0, len(x), STRIP):
+        for j in range(0, len(y), STRIP):
+            p, q = x[i : i + STRIP], y[j : j + STRIP]
+            if p[0, 0] - q[-1, 0] > gap or q[0, 0] - p[-1, 0] > gap:
+                continue
+            (a, s), (b, t) = np.radians(p[:, :2]).T, np.radians(q[:, :2]).T
+            h = np.sin((b[None, :] - a[:, None]) / 2) ** 2 + np.cos(a)[:, None] * np.cos(b)[None, :] * np.sin((t[None, :] - s[:, None]) / 2) ** 2
+            yield p, q, 2 * EARTH_METRES * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
+
+
+def nearest(metres: float):
+    """Smallest distance of two places, infinite beyond ``metres`` at the least by latitude."""
+    return lambda x, y: (min((float(np.fmin.reduce(d, axis=None)) for _, _, d in _near_strips(x, y, metres)), default=math.inf),)
+
+
+def near_sums(metres: float):
+    """Sum of dot products of vectors (columns from the fourth on) times proximity, and the number of pairs; the third column is how many vectors a row sums up."""
+
+    def measure(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+        total = 0.0
+        for p, q, d in _near_strips(x, y, metres):
+            total += float(np.sum(np.where(d <= metres, 1 - d / metres, 0.0) * (p[:, 3:] @ q[:, 3:].T)))
+        return total, float(x[:, 2].sum() * y[:, 2].sum())
+
+    return measure
