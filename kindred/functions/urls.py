@@ -57,13 +57,33 @@ def shared_slugs(a: Column, b: Column) -> Column:
     return F.when(miss == 0, F.size(hits)).otherwise(miss - 1).cast("int")
 
 
-def url_confidence(a: Column, b: Column, n: Column | None = None) -> Column:
-    """Confidence of two slug lists under one domain; ``n`` is what they share, if it is known."""
-    n = shared_slugs(a, b) if n is None else n
+def slug_prefixes(slugs: Column) -> Column:
+    """The first segment, the first two and so on, each as one text; segments have no slash."""
+    return F.transform(slugs, lambda _, i: F.array_join(F.slice(slugs, 1, i + 1), "/"))
+
+
+def shared_prefixes(a: Column, b: Column) -> Column:
+    """How many leading segments agree, by their prefixes; compiled, unlike :func:`shared_slugs`, for very many pairs."""
+    differ = lambda i: ~F.coalesce(F.get(a, F.lit(i)) == F.get(b, F.lit(i)), F.lit(False))
+    return F.when(differ(0), 0).when(differ(1), 1).otherwise(F.size(F.array_intersect(a, b)))
+
+
+def prefix_confidence(a: Column, b: Column, n: Column) -> Column:
+    """:func:`url_confidence` of slug lists by their prefixes, of which ``n`` are shared."""
+    return F.when((F.size(a) == n) & (F.size(b) == n), K.URL_FULL_CONFIDENCE).otherwise(segment_confidence(n))
+
+
+def segment_confidence(n: Column) -> Column:
     tier = F.when(n == 0, K.URL_SLUG_CONFIDENCE[0])
     for i, c in enumerate(K.URL_SLUG_CONFIDENCE[1:-1], 1):
         tier = tier.when(n == i, c)
-    return F.when(a == b, K.URL_FULL_CONFIDENCE).otherwise(tier.otherwise(K.URL_SLUG_CONFIDENCE[-1]))
+    return tier.otherwise(K.URL_SLUG_CONFIDENCE[-1])
+
+
+def url_confidence(a: Column, b: Column, n: Column | None = None) -> Column:
+    """Confidence of two slug lists under one domain; ``n`` is what they share, if it is known."""
+    n = shared_slugs(a, b) if n is None else n
+    return F.when(a == b, K.URL_FULL_CONFIDENCE).otherwise(segment_confidence(n))
 
 
 def bare_domain(url: Column) -> Column:

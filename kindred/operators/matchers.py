@@ -18,8 +18,9 @@ from kindred.functions import constants as K
 from kindred.functions import contact, geo, names, urls
 from kindred.functions.similarity import jaro_winkler
 from kindred.functions.vectors import cosine
-from kindred.operators.blocking import best_pairs, blocked_pairs, exclude_existing, one_payload, present
+from kindred.operators.blocking import best_blocked_pairs, exclude_existing, flagged_rows, one_payload, packed_join, packed_members, present
 from kindred.sources.io import tagged
+from kindred.sources.storage import materialize, spread_join
 
 RESULT = ["entity_id_1", "entity_id_2", "method_type", "confidence_score", "pre_rl_confidence_score", "match_values"]
 Tune = Callable[[DataFrame], DataFrame]
@@ -42,12 +43,17 @@ def email_keys(rows: DataFrame) -> DataFrame:
     return one_payload(keyed.where("key != ''"), ["key", "entity_id"], ["original"])
 
 
+def email_scored(rows: DataFrame) -> DataFrame:
+    """Pairs that share an address: both ends, key, both originals, score."""
+    keyed = materialize(email_keys(rows), "emails")
+    often = spread_join(keyed, keyed.groupBy("key").agg(F.count("*").alias("frequency")), ["key"])
+    own = often.withColumn("own", contact.email_confidence(F.col("key"), F.col("frequency")))
+    return best_blocked_pairs(own.select("key", "entity_id", "original", "own"), "key", "entity_id", ["original"], lambda p: p.withColumnRenamed("own_1", "score").drop("own_2"), ["own"])
+
+
 def match_emails(rows: DataFrame, existing: DataFrame | None = None, tune: Tune | None = None) -> DataFrame:
-    keyed = email_keys(rows)
-    often = keyed.groupBy("key").agg(F.count("*").alias("frequency"))
-    pairs = blocked_pairs(keyed, "key", "entity_id", ["original"]).join(often, "key").withColumn("score", contact.email_confidence(F.col("key"), F.col("frequency")))
     values = F.struct(F.col("original_1").alias("original_email1"), F.col("original_2").alias("original_email2"), F.col("key").alias("normalized_shared_email"))
-    return _result(best_pairs(pairs, "score", "key"), "email", "Email", values, "score", existing, tune)
+    return _result(email_scored(rows), "email", "Email", values, "score", existing, tune)
 
 
 def phone_keys(rows: DataFrame) -> DataFrame:
@@ -55,10 +61,14 @@ def phone_keys(rows: DataFrame) -> DataFrame:
     return one_payload(keyed.where("key != ''"), ["key", "entity_id"], ["original", "extension"])
 
 
+def phone_scored(rows: DataFrame) -> DataFrame:
+    """Pairs that share a number: both ends, key, both originals and extensions, score."""
+    return best_blocked_pairs(phone_keys(rows), "key", "entity_id", ["original", "extension"], lambda p: p.withColumn("score", contact.phone_confidence(F.col("extension_1"), F.col("extension_2"))))
+
+
 def match_phones(rows: DataFrame, existing: DataFrame | None = None, tune: Tune | None = None) -> DataFrame:
-    pairs = blocked_pairs(phone_keys(rows), "key", "entity_id", ["original", "extension"]).withColumn("score", contact.phone_confidence(F.col("extension_1"), F.col("extension_2")))
     values = F.struct(F.col("original_1").alias("original_phone1"), F.col("original_2").alias("original_phone2"), F.col("key").alias("normalized_shared_phone"), F.col("extension_1").alias("extension1"), F.col("extension_2").alias("extension2"))
-    return _result(best_pairs(pairs, "score", "key"), "phone", "Phone", values, "score", existing, tune)
+    return _result(phone_scored(rows), "phone", "Phone", values, "score", existing, tune)
 
 
 def url_keys(rows: DataFrame) -> DataFrame:
@@ -67,11 +77,45 @@ def url_keys(rows: DataFrame) -> DataFrame:
     return one_payload(keyed, ["key", "entity_id"], ["original", "slugs"])
 
 
+def url_scored(rows: DataFrame, originals: bool = True) -> DataFrame:
+    """Pairs that share a domain: both ends, key, slug_count, score, and both originals if wanted."""
+    keyed = url_keys(rows).withColumn("prefixes", urls.slug_prefixes(F.col("slugs"))).drop("slugs")
+    payload = ["original"] if originals else []
+    return best_blocked_pairs(keyed.select("key", "entity_id", "prefixes", *payload), "key", "entity_id", payload, _url_scores, ["prefixes"])
+
+
+def url_totals(rows: DataFrame) -> DataFrame:
+    """One row, if there are pairs: how many :func:`url_scored` gives (``n``), the sum ``s`` of their ``k`` scores, and entities_matched.
+
+    Pairs are counted by the prefixes that entities of a domain share, and so
+    are not made; only those of two entities that both have several domains are.
+    """
+    keyed = url_keys(rows).where("entity_id is not null").select("key", "entity_id", urls.slug_prefixes(F.col("slugs")).alias("prefixes"))
+    kept = flagged_rows(keyed, "key", "entity_id")
+    m = F.sum(F.col("_many").cast("long"))
+    # of n rows with m of the several, the pairs that aren't two of these
+    pairs = (F.count("*") * (F.count("*") - 1) - m * (m - 1)).alias("twice")
+    at = kept.select("key", "_many", F.posexplode(F.concat(F.array(F.lit("")), "prefixes")).alias("d", "p")).groupBy("key", "d", "p").agg(pairs)
+    same = kept.select("key", "_many", F.size("prefixes").alias("d"), F.coalesce(F.try_element_at("prefixes", F.lit(-1)), F.lit("")).alias("p")).groupBy("key", "d", "p").agg(pairs)
+    half = lambda x, name: x.groupBy("d").agg((F.sum("twice") / 2).alias(name))
+    deep = half(at, "least").join(half(at, "more").withColumn("d", F.col("d") - 1), "d", "left").join(half(same, "equal"), "d", "left").fillna(0.0)
+    n, s = F.col("least") - F.col("more"), K.URL_FULL_CONFIDENCE * F.col("equal")
+    counted = deep.select(n.alias("n"), (s + (n - F.col("equal")) * urls.segment_confidence(F.col("d"))).alias("s"))
+    if not kept.where("_many").isEmpty():
+        again = best_blocked_pairs(kept.where("_many").drop("_many"), "key", "entity_id", [], _url_scores, ["prefixes"])
+        counted = counted.unionByName(again.agg(F.count("*").cast("double").alias("n"), F.sum("score").alias("s")))
+    total = counted.agg(F.sum("n").cast("long").alias("n"), F.sum("s").alias("s")).where("n > 0")
+    return total.crossJoin(kept.agg(F.count_distinct("entity_id").alias("entities_matched"))).withColumn("k", F.col("n"))  # one row each
+
+
+def _url_scores(pairs: DataFrame) -> DataFrame:
+    a, b = F.col("prefixes_1"), F.col("prefixes_2")
+    return pairs.withColumn("slug_count", urls.shared_prefixes(a, b)).withColumn("score", urls.prefix_confidence(a, b, F.col("slug_count"))).drop("prefixes_1", "prefixes_2")
+
+
 def match_urls(rows: DataFrame, existing: DataFrame | None = None, tune: Tune | None = None) -> DataFrame:
-    pairs = blocked_pairs(url_keys(rows), "key", "entity_id", ["original", "slugs"])
-    pairs = pairs.withColumn("slug_count", urls.shared_slugs(F.col("slugs_1"), F.col("slugs_2"))).withColumn("score", urls.url_confidence(F.col("slugs_1"), F.col("slugs_2"), F.col("slug_count")))
     values = F.struct(F.col("original_1").alias("original_url1"), F.col("original_2").alias("original_url2"), F.col("key").alias("normalized_shared_domain"), F.col("slug_count").alias("matching_slug_count"))
-    return _result(best_pairs(pairs, "score", "key"), "url", "Url", values, "score", existing, tune)
+    return _result(url_scored(rows), "url", "Url", values, "score", existing, tune)
 
 
 def match_addresses(rows: DataFrame, existing: DataFrame | None = None, tune: Tune | None = None, glue: bool = False) -> DataFrame:
@@ -79,9 +123,9 @@ def match_addresses(rows: DataFrame, existing: DataFrame | None = None, tune: Tu
     c = F.col
     rows = rows.where(present(c("address_1")) & present(c("city"))).withColumn("original", adr.full_address(c("address_1"), c("address_2"), c("city"), c("state_province"), c("postal_code"), c("country")))
     keyed = rows.select("entity_id", "original", adr.normalize_address(c("original"), glue).alias("key"), adr.extract_unit(c("original"), glue).alias("unit")).where("key != ''")
-    pairs = blocked_pairs(one_payload(keyed, ["key", "entity_id"], ["original", "unit"]), "key", "entity_id", ["original", "unit"]).withColumn("score", adr.address_confidence(c("unit_1"), c("unit_2")))
+    pairs = best_blocked_pairs(one_payload(keyed, ["key", "entity_id"], ["original", "unit"]), "key", "entity_id", ["original", "unit"], lambda p: p.withColumn("score", adr.address_confidence(c("unit_1"), c("unit_2"))))
     values = F.struct(c("original_1").alias("original_address1"), c("original_2").alias("original_address2"), c("key").alias("normalized_shared_address"), c("score").cast("float").alias("pairwise_match_score"))
-    return _result(best_pairs(pairs, "score", "key"), "address", "Address", values, "score", existing, tune)
+    return _result(pairs, "address", "Address", values, "score", existing, tune)
 
 
 def name_index(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -144,6 +188,9 @@ def near_pairs(points: DataFrame, metres: float, most_latitude: float = 85.0) ->
     ``most_latitude``; one side is sent to the nine cells around it, around the
     globe too. Rows of cells that reach beyond that latitude are one cell each.
     Every pair meets in one cell. Latitudes beyond 90 degrees are no points.
+    Further columns are given of both sides (``_1``, ``_2``). The distance is
+    taken once for two places, whatever entities are there, and a cell with very
+    many entities is dealt to many tasks.
     """
     sides = geo.cell_degrees(metres, most_latitude)
     points = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & (F.abs("lat") <= 90))
@@ -154,18 +201,27 @@ def near_pairs(points: DataFrame, metres: float, most_latitude: float = 85.0) ->
     x = F.least(F.floor(F.pmod(F.col("lon") + 180, F.lit(360.0)) * (columns / 360)).cast("long"), F.lit(columns - 1))
     polar = lambda row: (row * sides[0] - 90 < -most_latitude) | ((row + 1) * sides[0] - 90 > most_latitude)
     placed = lambda dy, dx: F.struct((F.col("y") + dy).alias("y"), F.when(polar(F.col("y") + dy), F.lit(0)).otherwise(F.pmod(F.col("x") + dx, F.lit(columns))).cast("long").alias("x"))
-    home = points.withColumn("y", y).withColumn("x", x)
+    extra = [x for x in points.columns if x not in ("entity_id", "lat", "lon")]
+    # entities at one place are one row, or one for so many of them
+    home = packed_members(points, ["lat", "lon", *extra], "entity_id").withColumn("y", y).withColumn("x", x)
     around = F.explode(F.array_distinct(F.array(*[placed(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])))
-    b = home.select(F.col("entity_id").alias("entity_id_2"), F.col("lat").alias("lat_2"), F.col("lon").alias("lon_2"), placed(0, 0).alias("c")).select("entity_id_2", "lat_2", "lon_2", "c.y", "c.x")
-    a = home.select(F.col("entity_id").alias("entity_id_1"), F.col("lat").alias("lat_1"), F.col("lon").alias("lon_1"), around.alias("c")).select("entity_id_1", "lat_1", "lon_1", "c.y", "c.x")
-    met = a.join(b, ["y", "x"]).where("entity_id_1 < entity_id_2")
-    return met.withColumn("metres", geo.haversine(F.col("lat_1"), F.col("lon_1"), F.col("lat_2"), F.col("lon_2"))).where(F.col("metres") <= metres).drop("y", "x")
+    side = lambda i, cell: home.select(F.col("members").alias(f"_m{i}"), F.size("members").alias(f"_weight_{i}"), *[F.col(x).alias(f"{x}_{i}") for x in ("lat", "lon", *extra, "pack")], cell.alias("c")).select("*", "c.y", "c.x").drop("c")
+    met = packed_join(side(1, around), side(2, placed(0, 0)), ["y", "x"], "_weight", ["lat", "lon", *extra, "pack"])
+    met = met.withColumn("metres", geo.haversine(F.col("lat_1"), F.col("lon_1"), F.col("lat_2"), F.col("lon_2"))).where(F.col("metres") <= metres)
+    rest = ["lat_1", "lon_1", "lat_2", "lon_2", "metres", *[f"{x}_{i}" for x in extra for i in "12"]]
+    one = met.select(*rest, F.explode("_m1").alias("entity_id_1"), "_m2")
+    return one.select("entity_id_1", *rest, F.explode("_m2").alias("entity_id_2")).where("entity_id_1 < entity_id_2")
 
 
 def match_locations(points: DataFrame, existing: DataFrame | None = None, tune: Tune | None = None, metres: float = K.GEO_METRES, limit: int | None = None) -> DataFrame:
     """Entities with locations near each other; ``limit`` keeps the nearest new pairs of a run."""
+    places = points.where("lat is not null and lon is not null").select("entity_id", "lat", "lon").distinct()
+    flagged = spread_join(places, places.groupBy("entity_id").agg((F.count("*") > 1).alias("many")), ["entity_id"])
+    near = near_pairs(flagged, metres)
+    # only two entities that both have several places can meet twice
     w = Window.partitionBy("entity_id_1", "entity_id_2").orderBy("metres", "lat_1", "lon_1", "lat_2", "lon_2")
-    pairs = near_pairs(points, metres).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").withColumn("score", F.lit(0.85))
+    again = near_pairs(flagged.where("many"), metres).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    pairs = near.where(~(F.col("many_1") & F.col("many_2"))).unionByName(again).drop("many_1", "many_2").withColumn("score", F.lit(0.85))
     if existing is not None:
         pairs = exclude_existing(pairs, existing, "geospatial")
     if limit is not None:
